@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +66,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         e = new
         if done:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def plus(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """df's schema with one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .best_fit import op6_best_fit
+from .cube_mix import op2_cube_mix
+from .line_spread import OP10_SQL, op10_line_spread
 from .simhash_forest import op4_simhash_forest
+from .subword_quality import op8_subword_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cube_mix": op2_cube_mix,
     "op4_simhash_forest": op4_simhash_forest,
+    "op6_best_fit": op6_best_fit,
+    "op8_subword_quality": op8_subword_quality,
+    "op10_line_spread": op10_line_spread,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_spread": OP10_SQL,
+}

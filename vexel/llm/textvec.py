@@ -153,3 +153,15 @@ def distinct_per_row(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return mix(key & ~low), (key & low).astype(np.int64)
+
+
+def word_counts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of words of each row, as words() has them."""
+    isw = _WORD[buf]
+    start = isw.copy()
+    start[1:] &= ~isw[:-1]
+    cut = offsets[:-1]
+    cut = cut[cut < len(buf)]
+    start[cut] = isw[cut]
+    acc = np.concatenate([[0], np.cumsum(start)])
+    return np.diff(acc[offsets])
