@@ -1,6 +1,7 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the average of the learned vectors of its hashed words and byte n-grams; a
+A document is the average of the learned vectors of its hashed words and byte n-grams and of
+one that stands for all pairs of a word with itself (a word said again at once); a
 softmax over it gives the class. Vectors and output weights are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents (`train_rows`, the
 rows with the least hash of doc_id). Both layers are linear, so for scoring each bucket's
@@ -28,6 +29,9 @@ TRAIN_ROWS = 3000
 SEED = 7
 THRESHOLD = 0.5
 
+#: The bucket of all word pairs of twice the same word.
+REPEAT = 1 << BUCKET_BITS
+
 _MUL = np.uint32(2654435761)
 
 
@@ -54,7 +58,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     for r in range(len(off) - 1):
         b = buf[off[r] : off[r + 1]]
         h, _, _ = tv.words(b, np.array([0, len(b)]))
-        parts = [_word_buckets(h), *(_ngram_buckets(b, n)[: max(0, len(b) - n + 1)] for n in NGRAMS)]
+        parts = [_word_buckets(h), np.full(int((h[1:] == h[:-1]).sum()), REPEAT, np.uint32), *(_ngram_buckets(b, n)[: max(0, len(b) - n + 1)] for n in NGRAMS)]
         f, c = np.unique(np.concatenate(parts), return_counts=True)
         out.append((f, (c / max(1, c.sum())).astype(np.float32)))
     return out
@@ -63,7 +67,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(texts: pa.Array, labels: np.ndarray, classes: int = 2, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(embeddings, output weights). A step on the embeddings is scaled by the text's sum of squared shares, so that long texts move as far as short ones."""
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1 / dim, 1 / dim, (1 << BUCKET_BITS, dim)).astype(np.float32)
+    emb = rng.uniform(-1 / dim, 1 / dim, (REPEAT + 1, dim)).astype(np.float32)
     out = np.zeros((dim, classes), np.float32)
     data = [(f, s, 1 / float(s @ s)) if len(f) else None for f, s in bags(texts)]
     steps, total = 0, max(1, epochs * len(data))
@@ -99,6 +103,11 @@ def score(texts: pa.Array, table_: np.ndarray) -> np.ndarray:
         h, _, first = tv.words(b, o)
         acc = np.concatenate([[0], np.cumsum(table_[_word_buckets(h)], dtype=np.float64)])
         total, count = acc[first[1:]] - acc[first[:-1]], np.diff(first)
+        again = np.zeros(len(h) + 1, np.int64)
+        again[2:] = np.cumsum(h[1:] == h[:-1])
+        again = np.where(count > 0, again[first[1:]] - again[np.minimum(first[:-1] + 1, len(h))], 0)
+        total += again * float(table_[REPEAT])
+        count = count + again
         for n in NGRAMS:
             acc = np.concatenate([[0], np.cumsum(table_[_ngram_buckets(b, n)], dtype=np.float64)])
             end = np.maximum(o[1:] - n + 1, o[:-1])

@@ -111,7 +111,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
     acc = np.zeros(n, U64)
-    for t in range(k):
+    for t in range(min(k, n)):
         acc[: n - t] += h[t:] * _SHIFT[t % 8] if t == 0 else (h[t:] ^ U64(t)) * _SHIFT[t % 8]
     short = np.flatnonzero((count > 0) & (count < k))
     for r in short:  # sums that would run into the next row
