@@ -1,0 +1,53 @@
+import pytest
+from pyspark.sql import functions as F
+
+from vexel.llm import line_spread as ls
+from vexel.llm.common import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(rows, min_sites):
+    sites, first = {}, {}
+    for i, s, t in rows:
+        for x in (t or "").split("\n"):
+            x = x.strip(" ")
+            if x:
+                sites.setdefault(x, set()).update([s] if s is not None else [])
+                if i is not None:
+                    first[x] = min(first.get(x, i), i)
+    out = []
+    for i, s, t in rows:
+        kept = None if t is None else [x for x in t.split("\n") if len(sites.get(x.strip(" "), ())) < min_sites or (i is not None and first.get(x.strip(" ")) == i)]
+        out.append((i, None if t is None else "\n".join(kept), None if t is None else len(t.split("\n")) - len(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [ls.BROADCAST_LINES, -1])
+def test_both_ways_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(ls, "BROADCAST_LINES", limit)
+    docs = table(spark, SF, "documents").select("doc_id", "source", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for n in (3, ls.MIN_SITES):
+        got = ls.without_boilerplate(docs, n)
+        assert sorted(((r.doc_id, r.text, r._vx_removed) for r in got.collect()), key=str) == brute(rows, n)
+    assert sum(k for *_, k in brute(rows, 3)) > 0
+
+
+@pytest.mark.parametrize("limit", [ls.BROADCAST_LINES, -1])
+def test_nulls_repeats_ties_empty(spark, monkeypatch, limit):
+    monkeypatch.setattr(ls, "BROADCAST_LINES", limit)
+    rows = [(1, "a", "same\nown 1"), (2, "b", " same \n\nown 2"), (3, "c", "same"), (3, "c", "same"), (4, None, "same\nx"), (None, "d", "same\ny"), (5, "a", None), (6, "a", ""), (7, "a", "pair\npair"), (8, "b", "pair"), (9, "e", "long " * 100_000 + "\nsame")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("h", F.lit(1)).withColumn("site", F.lit("s"))
+    got = ls.without_boilerplate(d, 3)
+    assert got.columns == [*d.columns, "_vx_removed"]
+    assert sorted(((r.doc_id, r.text, r._vx_removed) for r in got.collect()), key=str) == brute(rows, 3)
+    assert ls.without_boilerplate(d.limit(0), 3).count() == 0
+
+
+def test_sketches_decide_only_what_is_far_from_the_threshold(spark):
+    lines = spark.range(40_000).selectExpr("id AS doc_id", "concat('site', id % 5000) AS site", "id % 4 AS k").where("k = 0 OR (k = 1 AND doc_id % 5000 < 4200) OR (k = 2 AND doc_id % 5000 < 2000)").selectExpr("doc_id", "site", "k AS h")
+    want = {r.h: r.n for r in lines.groupBy("h").agg(F.count_distinct("site").alias("n")).collect()}
+    for least in (900, 1050, 1051, 1250, 1251):
+        got = {r.h for r in ls.boilerplate(lines, least, lg_k=8).collect()}
+        assert got == {h for h, n in want.items() if n >= least}
