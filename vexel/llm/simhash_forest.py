@@ -27,9 +27,9 @@ SHINGLE = 2
 WORDS64 = 4
 BITS = 64 * WORDS64
 RADIUS = 48
-TARGET_RECALL = 0.95
-LEAF = 512
-MAX_TRIES = 64
+TARGET_RECALL = 0.92
+LEAF = 1024
+MAX_TRIES = 96
 BLOCK = 4096
 SEED = 20240229
 
