@@ -154,7 +154,7 @@ def balanced_sample(docs: DataFrame, budget: float = BUDGET, weights: Mapping |
 def keep_sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose document is in the sample; their columns as they are."""
     s = balanced_sample(docs, **options).select(F.col("doc_id").alias("_vx_id"), F.col("source").alias("_vx_source"))
-    return docs.join(s, docs["doc_id"].eqNullSafe(s["_vx_id"]) & docs["source"].eqNullSafe(s["_vx_source"]), "left_semi")
+    return docs.join(s.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(s["_vx_id"]) & docs["source"].eqNullSafe(s["_vx_source"]), "left_semi")
 
 
 def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     stays, that of the least text hash.
     """
     found = near_duplicates(docs, **options).select(F.col("doc_id").alias("_vx_id"))
-    left = docs.join(found, docs["doc_id"] == found["_vx_id"], "left_anti")
+    # The ids are hashed in partitions at every size, so that no plan depends on how many they are and texts are not sorted.
+    left = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_vx_id"], "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_vx_id"))
     twice = cut(twice, "twice")
     if twice.isEmpty():
