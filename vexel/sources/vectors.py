@@ -77,13 +77,13 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, uri: str, kind: str):
-        self.uri, self.kind = uri, kind
+    def __init__(self, uri: str, kind: str, range_bytes: int):
+        self.uri, self.kind, self.range_bytes = uri, kind, range_bytes
         self.n, self.d, _ = file_metadata(uri, kind)
 
     def partitions(self):
         dtype, _, _, head = FORMATS[self.kind]
-        step = max(1, RANGE_BYTES // max(1, head + self.d * np.dtype(dtype).itemsize))
+        step = max(1, self.range_bytes // max(1, head + self.d * np.dtype(dtype).itemsize))
         return [_Range(i, min(self.n, i + step)) for i in range(0, self.n, step)] or [_Range(0, 0)]
 
     def read(self, part):
@@ -119,10 +119,10 @@ class VectorFile(DataSource):
         return f"external_id bigint, vector array<{FORMATS[self._kind()][1]}>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self._kind())
+        return _Reader(self.options["path"], self._kind(), int(self.options.get("rangeBytes", RANGE_BYTES)))
 
 
-def read_vectors(spark: SparkSession, uri: str, source_type: str | None = None, dimensions: int | None = None) -> DataFrame:
+def read_vectors(spark: SparkSession, uri: str, source_type: str | None = None, dimensions: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(external_id, vector) of a file or table; external_id is the position in a file. `dimensions` keeps the first so many."""
     kind = (source_type or autodetect(uri)).lower()
     if kind == "parquet":
@@ -132,7 +132,7 @@ def read_vectors(spark: SparkSession, uri: str, source_type: str | None = None,
         df = df.select(F.col("external_id").cast("long").alias("external_id"), "vector")
     elif kind in FORMATS:
         spark.dataSource.register(VectorFile)
-        df = spark.read.format("vectors").option("type", kind).load(uri)
+        df = spark.read.format("vectors").option("type", kind).option("rangeBytes", range_bytes).load(uri)
     else:
         raise ValueError(f"unknown source type {source_type!r}; known: {', '.join([*FORMATS, 'parquet'])}")
     return df if dimensions is None or kind == "parquet" else df.withColumn("vector", F.slice("vector", 1, dimensions))
