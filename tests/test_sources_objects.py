@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.__main__ import main
-from vexel.objects import ColumnEmbedding, DirectoryTextReader, HashingEmbedding, ObjectIndex, RandomEmbedding, TableReader, match_uri
+from vexel.objects import ColumnEmbedding, DirectoryImageReader, DirectoryTextReader, HashingEmbedding, ObjectIndex, RandomEmbedding, TableReader, match_uri
 from vexel.objects.readers import split_text
+from vexel.operators import graph, topk
 from vexel.plans import create, ingest, open_index
-from vexel.sources import autodetect, coo_to_vectors, load_as_matrix, read_ids, read_vectors, source_metadata, write_vectors
+from vexel.sources import autodetect, blocks_to_vectors, coo_to_vectors, import_vamana, load_as_matrix, read_graph, read_ids, read_vectors, source_metadata, write_vectors
 from vexel.sources import vectors as v
 from vexel.streaming import update_stream
 
@@ -60,6 +61,35 @@ def test_sparse_keeps_its_width(spark):
     assert all(len(x) == 100 and x[90:] == [0.0] * 10 for x in rows.values()) and rows[3][:3] == [300.0, 301.0, 302.0]
 
 
+def test_blocks(spark):
+    d = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [7, 8]), ([5.0, 6.0], [9]), ([], [])], "vectors array<float>, external_ids array<long>")
+    assert {r.external_id: r.vector for r in blocks_to_vectors(d).collect()} == {7: [1.0, 2.0], 8: [3.0, 4.0], 9: [5.0, 6.0]}
+
+
+def test_graph_import(spark, tmp_path):
+    x = np.arange(20, dtype="<f4").reshape(10, 2)
+    (tmp_path / "g.data").write_bytes(struct.pack("<II", 10, 2) + x.tobytes())
+    nodes = b"".join(np.array([len(n), *n], "<u4").tobytes() for n in ([[1]] + [[i - 1, i + 1] for i in range(1, 9)] + [[8]]))
+    (tmp_path / "g").write_bytes(struct.pack("<QIIQ", 24 + len(nodes), 2, 4, 0) + nodes)
+    e = read_graph(spark, str(tmp_path / "g"), str(tmp_path / "g.data"))
+    assert e.count() == 18 and e.where("score = 8.0").count() == 18 and read_graph(spark, str(tmp_path / "g")).count() == 18
+    q = spark.createDataFrame([(0, [18.2, 19.0])], "query_id long, vector array<float>")
+    assert [r.external_id for r in graph.vamana_query(import_vamana(spark, str(tmp_path / "g")), q, 2).orderBy("rank").collect()] == [9, 8]
+    (tmp_path / "bad").write_bytes(struct.pack("<QIIQ", 99, 2, 4, 0))
+    with pytest.raises(ValueError):
+        read_graph(spark, str(tmp_path / "bad"))
+
+
+def test_images_and_counts(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"123")
+    (tmp_path / "b.txt").write_bytes(b"1")
+    r = DirectoryImageReader(str(tmp_path))
+    assert [(x.bytes, bytes(x.image)) for x in r.objects(spark).collect()] == [(3, b"123")] and r.metadata(spark).count() == 1
+    assert type(r)(**r.kwargs).kwargs == r.kwargs
+    df, o = topk.counted(spark.range(9).selectExpr("id AS query_id", "id AS external_id", "1D AS distance"))
+    assert topk.top_k(df, 1).count() == 9 and o.get["evaluated"] == 9
+
+
 def test_command_line(spark, tmp_path, capsys):
     x = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "external_id long, vector array<float>")
     write_vectors(x, str(tmp_path / "x.fvecs"))

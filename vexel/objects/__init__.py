@@ -2,4 +2,4 @@
 
 from .embeddings import ColumnEmbedding, HashingEmbedding, ObjectEmbedding, RandomEmbedding, SentenceEmbedding  # noqa: F401
 from .index import ObjectIndex  # noqa: F401
-from .readers import DirectoryTextReader, ObjectReader, TableReader, match_uri  # noqa: F401
+from .readers import DirectoryImageReader, DirectoryTextReader, ObjectReader, TableReader, match_uri  # noqa: F401

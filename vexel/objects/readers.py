@@ -98,3 +98,17 @@ class DirectoryTextReader(ObjectReader):
 
     def metadata(self, spark):
         return self.objects(spark).select("external_id", "uri", "chunk")
+
+
+class DirectoryImageReader(DirectoryTextReader):
+    """Image files under a directory, undecoded: (external_id, uri, image, bytes); an embedding decodes what it needs."""
+
+    def __init__(self, path: str, include: str = "*", exclude: list[str] | None = None, suffixes: list[str] | None = None, max_files: int | None = None):
+        super().__init__(path, include, exclude, [".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp", ".tif", ".tiff"] if suffixes is None else suffixes, max_files)
+        self.kwargs = {k: self.kwargs[k] for k in ("path", "include", "exclude", "suffixes", "max_files")}
+
+    def objects(self, spark):
+        return self.files(spark).select(F.xxhash64("path").alias("external_id"), F.col("path").alias("uri"), F.col("content").alias("image"), F.col("length").alias("bytes"))
+
+    def metadata(self, spark):
+        return self.files(spark).select(F.xxhash64("path").alias("external_id"), F.col("path").alias("uri"), F.col("length").alias("bytes"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import MAX_FLOAT32, NO_ID, Metric, as_metric
@@ -45,6 +45,12 @@ def trim(result: DataFrame, k: int | None = None) -> DataFrame:
     return r if k is None else r.where(F.col("rank") <= k)
 
 
+def counted(scored: DataFrame, name: str = "distances") -> tuple[DataFrame, Observation]:
+    """(scored, observation): after an action on it, observation.get["evaluated"] is the number of distances that were computed."""
+    o = Observation(name)
+    return scored.observe(o, F.count(F.lit(1)).alias("evaluated")), o
+
+
 def intersections(result: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, hits): how many of the true neighbours the result has."""
     a = result.select("query_id", "external_id").distinct()

@@ -180,6 +180,13 @@ def coo_to_vectors(df: DataFrame, row: str, col: str, value: str, dimensions: in
     return m.select(F.col(row).cast("long").alias("external_id"), v.alias("vector"))
 
 
+def blocks_to_vectors(df: DataFrame, vectors: str = "vectors", ids: str = "external_ids") -> DataFrame:
+    """(external_id, vector) of rows that each hold many vectors end to end and their ids; the width is the number of elements by that of ids."""
+    width = (F.size(vectors) / F.size(ids)).cast("int")
+    rows = df.where(F.size(ids) > 0).select(F.posexplode(ids).alias("_i", "external_id"), F.col(vectors).alias("_v"), width.alias("_w"))
+    return rows.select(F.col("external_id").cast("long").alias("external_id"), F.slice("_v", F.col("_i") * F.col("_w") + 1, F.col("_w")).alias("vector"))
+
+
 def load_as_matrix(spark: SparkSession, uri: str, size: int | None = None, source_type: str | None = None) -> np.ndarray:
     """The first `size` vectors (default: all) as a NumPy matrix on the driver."""
     df = read_vectors(spark, uri, source_type)
