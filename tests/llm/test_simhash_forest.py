@@ -74,6 +74,16 @@ def test_plan_climbs_until_the_recall_is_reached():
         assert tries <= sf.MAX_TRIES and 1 - (1 - (1 - sf.RADIUS / sf.BITS) ** depth) ** tries >= sf.TARGET_RECALL
 
 
+def test_tries_are_cut_by_density():
+    rng = np.random.default_rng(0)
+    counts = (rng.pareto(0.7, 64) * 5).astype(int)
+    depth = sf.cut_depths(counts, 40)
+    for key, d in enumerate(depth):
+        node = lambda k: counts[(key >> (6 - k)) << (6 - k) : ((key >> (6 - k)) + 1) << (6 - k)].sum()
+        assert d == next((k for k in range(6) if node(k) <= 40), 6)
+    assert sf.cut_depths(np.array([5]), 1).tolist() == [0]
+
+
 def test_nulls_empty_repeats_and_other_columns(spark):
     text = " ".join(f"word{i}" for i in range(300))
     rows = [(1, text, "a"), (2, text, "b"), (3, None, "c"), (4, "", "d"), (5, "", "e"), (None, text, "f"), (6, text.replace("word7 ", "other "), "g"), (7, "quite another thing", "h"), (8, "?!", "i"), (8, "?!", "i"), (9, "twice given row", "j"), (9, "twice given row", "j")]

@@ -3,12 +3,15 @@
 A text's signature is the 256-bit SimHash of its set of word pairs. Two texts are near
 duplicates if their signatures differ in at most `radius` bits. The forest holds several
 tries, each over its own random permutation of the bits; a trie's node at depth d is the set
-of signatures that share their first d permuted bits. The depth at which nodes are compared
-follows from the density (the deepest level whose nodes hold about `leaf` signatures), and
-the number of tries from the target recall at the radius. Where that would take more than
-`max_tries`, the search climbs to shorter prefixes until the recall is reached. All members of
-a node are then verified on the full signatures, every row being a query; a node above
-`block` rows is cut into pairs of blocks, so that it is compared whole, by many tasks.
+of signatures that share their first d permuted bits.
+
+Where a trie is cut depends on its density: a node is split until it holds `leaf` signatures
+at most, so prefixes are long in dense regions and short in sparse ones. No prefix is longer than
+the depth at which the tries together still find a pair at the radius with the target recall: a
+search that would end deeper climbs to it. The number of tries follows from that depth, and
+where it would exceed `max_tries` the depth itself climbs. All members of a node are then verified on
+the full signatures, every row being a query; a node above `block` rows is cut into pairs of
+blocks, so that it is compared whole, by many tasks.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def plan(n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, leaf: int = LEAF, max_tries: int = MAX_TRIES) -> tuple[int, int]:
-    """(depth, tries) for n signatures: as deep as the density asks, then climbed until max_tries tries reach the recall for a pair at the radius."""
+    """(greatest depth, tries) for n signatures: as deep as the mean density asks, then climbed until max_tries tries reach the recall for a pair at the radius."""
     depth = max(0, round(math.log2(max(1, n / leaf))))
     while True:
         hit = (1 - radius / BITS) ** depth
@@ -124,32 +127,85 @@ def _verify(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int) ->
     return ids[moved], ids[root[moved]]
 
 
+def trie_keys(cols: list[np.ndarray], pick: np.ndarray) -> np.ndarray:
+    """The picked bits of each signature as one number, the first bit on top."""
+    key = np.zeros(len(cols[0]), np.int64)
+    for bit in pick:
+        key = (key << 1) | ((cols[bit // 64] >> tv.U64(bit % 64)) & tv.U64(1)).astype(np.int64)
+    return key
+
+
+def cut_depths(counts: np.ndarray, leaf: int) -> np.ndarray:
+    """Per key of the deepest level (counts: 2**depth signatures' numbers) the least depth at which its node holds at most `leaf` signatures, else the deepest."""
+    deepest = len(counts).bit_length() - 1
+    depth, c = np.full(len(counts), deepest, np.int64), counts
+    for d in range(deepest - 1, -1, -1):
+        c = c.reshape(-1, 2).sum(1)
+        depth[np.repeat(c <= leaf, 1 << (deepest - d))] = d
+    return depth
+
+
 def near_edges(sigs: DataFrame, n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, leaf: int = LEAF, max_tries: int = MAX_TRIES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(a, b): edges whose connected components are those of the near-duplicate pairs the forest finds among n distinct signatures."""
+    """(a, b): edges whose connected components are those of the near-duplicate pairs the forest finds among n distinct signatures.
+
+    The tries' node sizes go to the driver and their cuts to the tasks: tries * 2**depth numbers,
+    at most some 12 million however many rows there are, as the recall bounds the depth.
+    """
     depth, tries = plan(n, radius, recall, leaf, max_tries)
     rng = np.random.default_rng(seed)
     picks = [rng.permutation(BITS)[:depth] for _ in range(tries)]
 
+    def columns(b):
+        return [b.column(1 + w).to_numpy(zero_copy_only=False).view(tv.U64) for w in range(WORDS64)]
+
+    def count(batches):
+        total = np.zeros(tries << depth, np.int64)
+        for b in batches:
+            cols = columns(b)
+            for t, pick in enumerate(picks):
+                total[t << depth : (t + 1) << depth] += np.bincount(trie_keys(cols, pick), minlength=1 << depth)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["node", "n"])
+
+    got = sigs.select("id", *_SIG).mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(tries << depth, np.int64)
+    counts[got["node"].to_numpy()] = got["n"].to_numpy()
+    counts = counts.reshape(tries, -1)
+    cuts = np.stack([cut_depths(c, leaf) for c in counts]).astype(np.uint8)
+    blocks = np.where((cuts == depth) & (counts > block), -(-counts // block), 1).astype(np.int32)
+    shared = sigs.sparkSession.sparkContext.broadcast((cuts, blocks))
+
     def fan(batches):
+        cuts, blocks = shared.value
+        names = ["node", "part", "side", "id", *_SIG]
         for b in batches:
-            cols = [b.column(1 + w).to_numpy(zero_copy_only=False).view(tv.U64) for w in range(WORDS64)]
+            cols, ids = columns(b), b.column(0).to_numpy()
+            spread = tv.mix(ids.view(tv.U64))
             for t, pick in enumerate(picks):
-                key = np.zeros(b.num_rows, tv.U64)
-                for bit in pick:
-                    key = (key << tv.U64(1)) | ((cols[bit // 64] >> tv.U64(bit % 64)) & tv.U64(1))
-                node = tv.mix(key ^ tv.U64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *b.columns], ["node", "id", *_SIG])
+                key = trie_keys(cols, pick)
+                d, many = cuts[t][key].astype(np.int64), blocks[t][key]
+                name = ((key >> (depth - d)).astype(tv.U64) << tv.U64(16)) | (d << 10 | t).astype(tv.U64)
+                node = pa.array(tv.mix(name).view(np.int64))
+                zero = pa.array(np.zeros(len(ids), np.int32))
+                one = many == 1
+                if one.all():
+                    yield pa.RecordBatch.from_arrays([node, zero, zero, *b.columns], names)
+                    continue
+                rows = np.flatnonzero(one)
+                part, side = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                for m in np.unique(many[~one]):  # each row meets every block of its node once
+                    mine = np.flatnonzero(many == m)
+                    own = (spread[mine] % tv.U64(m)).astype(np.int64)
+                    other = np.tile(np.arange(m), len(mine))
+                    own = np.repeat(own, m)
+                    rows = np.concatenate([rows, np.repeat(mine, m)])
+                    part = np.concatenate([part, np.minimum(own, other) * m + np.maximum(own, other)])
+                    side = np.concatenate([side, np.where(own == other, 0, np.where(own < other, 1, 2))])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([node.take(at), pa.array(part.astype(np.int32)), pa.array(side.astype(np.int32)), *(c.take(at) for c in b.columns)], names)
 
     sig_cols = ", ".join(f"{s} long" for s in _SIG)
-    rows = sigs.select("id", *_SIG).mapInArrow(fan, f"node long, id long, {sig_cols}")
-    # Nodes above `block` rows, had from the keys alone; at most rows / block of them.
-    heavy = cut(rows.groupBy("node").count().where(F.col("count") > block).select("node", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "heavy")
-    if heavy.isEmpty():
-        rows = rows.withColumns({"part": F.lit(0), "side": F.lit(0)})
-    else:
-        j = rows.join(heavy, "node", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        pair = "transform(sequence(0, coalesce(blocks, 1) - 1), o -> struct(least(o, own) * coalesce(blocks, 1) + greatest(o, own) AS part, CASE WHEN o = own THEN 0 WHEN own < o THEN 1 ELSE 2 END AS side))"
-        rows = j.withColumn("p", F.explode(F.expr(pair))).select("node", "id", *_SIG, "p.part", "p.side")
+    rows = sigs.select("id", *_SIG).mapInArrow(fan, f"node long, part int, side int, id long, {sig_cols}")
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
