@@ -159,6 +159,12 @@ def test_metrics_filters_and_training(spark, tmp_path):
         ivf.consolidate_updates(partitions=3)
 
 
+def test_repeated_and_null_rows(spark, tmp_path):
+    rows = [(1, [1.0, 1.0]), (1, [0.0, 1.0]), (2, [2.0, 2.0]), (2, [2.0, 2.0]), (None, [3.0, 3.0]), (4, None)]
+    index = ingest(spark, "FLAT", str(tmp_path / "i"), input_vectors=spark.createDataFrame(rows, "external_id long, vector array<float>"))
+    assert sorted((r.external_id, r.vector) for r in index.vectors().collect()) == [(1, [0.0, 1.0]), (2, [2.0, 2.0])] and index.size == 2
+
+
 def test_update_log_is_compacted(spark, tmp_path):
     index = create(spark, str(tmp_path / "e"), "FLAT", 2)
     for i in range(12):

@@ -120,6 +120,14 @@ def test_kmeans_quality_and_starts(spark, blobs):
     assert 100.0 not in moved
 
 
+def test_sample_is_the_least_hashes(spark):
+    d = spark.range(20_000).select(F.col("id").alias("external_id"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+    want = [r.external_id for r in d.orderBy(F.xxhash64("external_id", F.lit(3)), "external_id").limit(50).collect()]
+    assert [r.external_id for r in kmeans.sample(d, 50, "RANDOM", 3).collect()] == want
+    assert sorted(r.external_id for r in kmeans.sample(d, 5, "FIRST_N").collect()) == [0, 1, 2, 3, 4]
+    assert kmeans.sample(d, 30_000).count() == 20_000
+
+
 def test_pq(spark, blobs):
     x, q, base, queries = blobs
     book = pq.train_pq(base, 4, clusters=32, seed=2).cache()

@@ -104,7 +104,7 @@ def ingest(
     """Builds a version of the index at index_uri, creating it if it is not there, and opens it.
 
     Vectors come as a DataFrame (external_id, vector), a matrix with external_ids, or a source;
-    rows with a null id or vector are left out, of repeated ids one row stays. `size` takes the first so many positions. With COSINE,
+    rows with a null id or vector are left out, of repeated ids the least vector stays. `size` takes the first so many positions. With COSINE,
     IVF_FLAT stores vectors at length 1 (normalized: they are already). index_timestamp must be after the last version's.
     """
     _check(dict(locals()))
@@ -125,7 +125,10 @@ def ingest(
         u = st.latest(spark.read.schema(st.UPDATES).parquet(updates_uri))
         df = df.join(u.select("external_id"), "external_id", "left_anti").unionByName(u.where("size(vector) > 0").select("external_id", "vector"))
     stored = df.schema["vector"].dataType.elementType.simpleString()
-    df = df.withColumn("vector", F.col("vector").cast("array<float>")).groupBy("external_id").agg(F.first("vector").alias("vector"))
+    df = df.withColumn("vector", F.col("vector").cast("array<float>"))
+    # Only ids are shuffled to see whether any is repeated; vectors only if so.
+    if not df.groupBy("external_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        df = df.groupBy("external_id").agg(F.min("vector").alias("vector"))
     n, dims = df.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     s = st.Store(spark, index_uri)
     dims = dimensions or dims or (s.load()["dimensions"] if s.exists() else None)
