@@ -58,7 +58,13 @@ def check(rows, words, capacity, most, cluster):
 def test_query_keeps_all_tokens_and_constraints(spark):
     docs = table(spark, SF, "documents").collect()
     words = {r.doc_id: len(re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", r.text)) for r in docs}
-    cluster = {r.doc_id: re.sub(r"\s+", " ", r.text.strip(" ").lower()) for r in docs}
+    fold = lambda t: "".join(c.lower() if c < "\x80" else c for c in t)
+    cluster = {r.doc_id: tuple(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", fold(r.text))) for r in docs}
+    groups = {}
+    for r in bf.items_of(table(spark, SF, "documents").select("doc_id", "source", "text")).collect():
+        assert r._vx_tokens == words[r.doc_id]
+        groups.setdefault(r.cluster, set()).add(cluster[r.doc_id])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(cluster.values())) < len(docs)
     rows = bf.op6_best_fit(spark, SF).collect()
     bins = check(rows, words, bf.CAPACITY, bf.MAX_PER_SOURCE, cluster)
     assert sum(words.values()) / bins / bf.CAPACITY > 0.8

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textvec as tv
 from .common import cut, table
 from .cube_mix import word_counts
 
@@ -65,20 +66,39 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACI
     return out
 
 
+def items_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, _vx_tokens, cluster) of every row, by one pass over the texts' bytes: cluster is a hash of the words in their order, ASCII case folded."""
+
+    def run(batches):
+        for b in batches:
+            buf, off = tv.column_bytes(b.column(2))
+            n, c = [np.zeros(0, np.int64)], [np.zeros(0, tv.U64)]
+            for i, j in tv.chunks(off):
+                h, row, first = tv.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                acc = np.concatenate([np.zeros(1, tv.U64), np.cumsum(tv.mix(h ^ tv.mix((np.arange(len(h)) - first[row]).astype(tv.U64))))])
+                n.append(np.diff(first))
+                c.append(acc[first[1:]] - acc[first[:-1]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.concatenate(n)), pa.array(np.concatenate(c).view(np.int64))], ["doc_id", "source", "_vx_tokens", "cluster"])
+
+    return docs.mapInArrow(run, "doc_id long, source string, _vx_tokens long, cluster long")
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
     """(bin_id, doc_id, source, piece, first_token, n_tokens): where each piece of each document goes.
 
     Tokens are words. A bin has at most `capacity` tokens, at most max_per_source pieces of one
     source, and no two documents of one duplicate cluster: the column `cluster`, or if None the texts that
-    are equal after folding case and white space. A document longer than a bin is cut: full pieces are bins of their own, the
+    have the same words in the same order, case and punctuation aside. A document longer than a bin is cut: full pieces are bins of their own, the
     rest is packed. Each row is packed, so repeated rows go to different bins; a document without words (null or empty text) has one row with
     bin_id null. Null ids and sources are values like others; a null cluster is no cluster. Empty in, empty out; other columns are not looked at.
     """
-    text = F.col("text").cast("string")
-    same = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ") if cluster is None else F.col(cluster)
-    group = F.when(same.isNotNull(), F.xxhash64(same)).otherwise(F.xxhash64("doc_id", text, F.lit("alone")))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", group.alias("cluster"))
-    items = cut(word_counts(d, "doc_id", "source", "cluster"), "items")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
+    if cluster is None:
+        items = items_of(docs.select(*own))
+    else:
+        group = F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)).otherwise(F.xxhash64("doc_id", "text", F.lit("alone")))
+        items = word_counts(docs.select(*own, group.alias("cluster")), "doc_id", "source", "cluster")
+    items = cut(items, "items")
     shards = max(1, -(-items.count() // shard_rows))
     schema = "bin_id long, doc_id long, source string, piece int, first_token long, n_tokens long"
 
