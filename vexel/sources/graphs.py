@@ -1,4 +1,4 @@
-"""Import of a Vamana graph from the binary files of an in-memory disk-ANN index.
+"""Import of a Vamana graph from the two binary files in which such in-memory graphs are commonly exchanged.
 
     graph   <u64 file size><u32 max degree><u32 medoid><u64 frozen points>, then per node <u32 n> and n ids of 4 bytes
     vectors <u32 n><u32 d>, then n * d float32 (the f32bin format)
