@@ -55,3 +55,30 @@ def test_query_nulls_and_empty(spark):
     got = [(r.doc_id, len(r.sketch)) for r in ss.sketches(d, fraction=0.5).collect()]
     assert got[0] == (None, 0) and got[1] == (1, 0) and got[2] == got[3]
     assert ss.sketches(d.limit(0)).count() == 0
+
+
+def test_query_finds_every_verbatim_item(spark):
+    """At the production fraction, against brute force over all shingles; by look-up and by join."""
+    sf = "/root/testdata/sf0.1"
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    d = [(r.doc_id, r.text) for r in docs.collect()]
+    b = {r.item_id: r.text for r in bench.collect()}
+    got = {(c.item_id, r.doc_id): c.containment for r in ss.op7_scaled_sketch(spark, sf).where("contains is not null").collect() for c in r.contains}
+    verbatim = {(i, j) for j, t in d for i, x in b.items() if x in t and re.search(rf"(?<!\w){re.escape(x)}(?!\w)", t)}
+    assert len(verbatim) > 100 and verbatim <= set(got) and all(got[p] == 1 for p in verbatim)
+    items = {i: shingle_set(x) for i, x in b.items()}
+    where = {}
+    for i, x in items.items():
+        for s in x:
+            where.setdefault(s, []).append(i)
+    want = {}
+    for j, t in d:
+        n = {}
+        for s in shingle_set(t):
+            for i in where.get(s, ()):
+                n[i] = n.get(i, 0) + 1
+        want |= {(i, j): k / len(items[i]) for i, k in n.items() if k >= ss.MIN_CONTAINMENT * len(items[i])}
+    assert got == want
+    few = docs.where("doc_id < 500")
+    one, two = (sorted((r.doc_id, r.sketch, r.contains or []) for r in ss.contained(few, bench, most=m).collect()) for m in (ss.INDEX_SHINGLES, 0))
+    assert one == two and any(c for *_, c in one)

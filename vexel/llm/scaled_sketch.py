@@ -17,8 +17,10 @@ from .common import cut, table
 
 SHINGLE = 5
 #: The part of the hash space that is kept (at most 1/2, so that hashes are positive as long integers).
-FRACTION = 1 / 16
+FRACTION = 1 / 2
 MIN_CONTAINMENT = 0.5
+#: Shingles of all benchmark items up to which they go to every task (16 bytes each); beyond that they are joined by hash.
+INDEX_SHINGLES = 4_000_000
 
 
 def sketch_arrays(texts: pa.Array, shingle: int = SHINGLE, fraction: float = FRACTION) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +72,73 @@ def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: s
     return hits.select(F.col("a").alias(small_key), F.col("b").alias(large_key), (F.col("n") / F.col("size")).alias("containment"))
 
 
+class Items:
+    """All shingles of some items, as arrays: which items a text contains is then found by look-ups in one pass over it."""
+
+    def __init__(self, ids: pa.Array, sketches: pa.ListArray):
+        n = np.diff(sketches.offsets.to_numpy())
+        h, item = sketches.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(h, kind="stable")
+        self.ids, self.size, self.item = ids, n, item[order]
+        self.hashes, self.first = np.unique(h[order], return_index=True)
+        self.first = np.append(self.first, len(h))
+
+    def within(self, values: np.ndarray, offsets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, containment) where at least `least` of the item's shingles are among the text's values."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == values)
+        row, at = np.searchsorted(offsets, hit, "right") - 1, at[hit]
+        n = self.first[at + 1] - self.first[at]
+        every = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair, count = np.unique(np.repeat(row, n) * len(self.size) + self.item[every], return_counts=True)
+        row, item = pair // len(self.size), pair % len(self.size)
+        share = count / self.size[item]
+        ok = share >= least
+        return row[ok], item[ok], share[ok]
+
+
+def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", fraction: float = FRACTION, least: float = MIN_CONTAINMENT, most: int = INDEX_SHINGLES) -> DataFrame:
+    """(key, sketch, contains) of every row: its sketch and the items (item_key, containment) of whose shingles it has at least `least`, null if none.
+
+    Containment is counted over all shingles of both sides, kept by the sketch or not. Rows of one item_id are one item, their shingles
+    together; null item ids and wordless items are in nothing. Items beyond `most` shingles are joined by hash, rows apart by a number.
+    """
+    spark = docs.sparkSession
+    whole = cut(merged(sketches(items, item_key, text, fraction=1.0).where(F.col(item_key).isNotNull()), item_key), "items")
+    kind = f"`{key}` {docs.schema[key].dataType.simpleString()}, sketch array<bigint>, contains array<struct<{item_key}: {items.schema[item_key].dataType.simpleString()}, containment: double>>"
+    if (whole.select(F.sum(F.size("sketch"))).first()[0] or 0) > most:
+        d = cut(docs.select(key, text).withColumn("_vx_row", F.monotonically_increasing_id()), "rows")
+        found = containment(whole, sketches(d, "_vx_row", text, fraction=1.0), item_key, "_vx_row", least)
+        found = found.groupBy("_vx_row").agg(F.sort_array(F.collect_list(F.struct(item_key, "containment"))).alias("contains"))
+        kept = sketches(d, "_vx_row", text, fraction=fraction)
+        return d.select(key, "_vx_row").join(kept, "_vx_row").join(found, "_vx_row", "left").select(key, "sketch", "contains")
+    t = whole.orderBy(item_key).toArrow().combine_chunks()
+    index = spark.sparkContext.broadcast(Items(t[item_key].combine_chunks(), t["sketch"].combine_chunks()))
+    d = docs.select(key, F.col(text).cast("string").alias("_vx_text"))
+    limit = int(fraction * (1 << 64)) - 1
+
+    def run(batches):
+        own = index.value
+        for b in batches:
+            v, off = sketch_arrays(b.column(1), fraction=1.0)
+            row, item, share = own.within(v, off, least)
+            pairs = pa.StructArray.from_arrays([own.ids.take(pa.array(item)), pa.array(share)], [item_key, "containment"])
+            n = np.bincount(row, minlength=b.num_rows)
+            contains = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pairs, mask=pa.array(n == 0))
+            low = np.append(0, np.cumsum(v.view(np.uint64) <= np.uint64(limit)))
+            sketch = pa.ListArray.from_arrays(pa.array(low[off].astype(np.int32)), pa.array(v[low[1:] > low[:-1]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), sketch, contains], [key, "sketch", "contains"])
+
+    return d.mapInArrow(run, kind)
+
+
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_hashes, est_shingles, sketch, contains) of every document.
 
-    contains: the benchmark items at least half of whose shingles the document is estimated to have, as an array of (item_id, containment).
+    contains: the benchmark items at least half of whose shingles the document has, as an array of (item_id, containment), counted over all shingles.
     """
-    docs = cut(sketches(table(spark, sf_dir, "documents")), "sketches")
-    found = containment(sketches(table(spark, sf_dir, "benchmark"), "item_id"), docs, "item_id", "doc_id")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "containment"))).alias("contains")).withColumnRenamed("doc_id", "_vx_id")
-    d = docs.join(found, docs["doc_id"] == found["_vx_id"], "left")
+    d = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n = F.size("sketch")
     return d.select("doc_id", n.alias("n_hashes"), (n / F.lit(FRACTION)).alias("est_shingles"), "sketch", "contains")
