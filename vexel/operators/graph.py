@@ -8,6 +8,7 @@ and merges. One shard is the published algorithm.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +110,12 @@ def random_graph(df: DataFrame, degree: int, seed: int = 0) -> DataFrame:
     return want.join(pos.withColumnRenamed("external_id", "dst"), "_pos").select("src", "dst")
 
 
-def nn_descent(df: DataFrame, k: int, rounds: int = 10, delta: float = 0.01, seed: int = 0) -> DataFrame:
-    """(src, dst, score): an approximate kNN graph; neighbours of neighbours are tried until fewer than delta * k * n edges change in a round. Each round is written to the shared folder."""
+def nn_descent(df: DataFrame, k: int, rounds: int | None = None, delta: float = 0.01, seed: int = 0, pool: int | None = None) -> DataFrame:
+    """(src, dst, score): an approximate kNN graph; neighbours of neighbours are tried until at most delta * pool * n edges change in a round, or for `rounds` rounds.
+
+    `pool` neighbours (3 * k by default) are kept on the way and the k nearest of them given back. Each round is written to the shared folder.
+    """
+    pool = max(k, pool or 3 * k)
     v = df.select("external_id", "vector")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -118,22 +123,22 @@ def nn_descent(df: DataFrame, k: int, rounds: int = 10, delta: float = 0.01, see
         b = v.toDF("dst", "_b")
         return pairs.where("src <> dst").distinct().join(a, "src").join(b, "dst").select("src", "dst", sum_of_squares("_a", "_b").alias("score"))
 
-    def best(e: DataFrame) -> DataFrame:
+    def best(e: DataFrame, k: int = pool) -> DataFrame:
         t = top_k(e.select(F.col("src").alias("query_id"), F.col("dst").alias("external_id"), F.col("score").alias("distance")).distinct(), k)
         return t.select(F.col("query_id").alias("src"), F.col("external_id").alias("dst"), F.col("distance").alias("score"))
 
-    g = cut(best(scored(random_graph(v, k, seed))))
+    g = cut(best(scored(random_graph(v, pool, seed))))
     n = v.count()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         both = g.select("src", "dst").unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
         hop = both.select(F.col("src").alias("mid"), F.col("dst").alias("src")).join(both.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
         new = scored(hop.join(g.select("src", "dst"), ["src", "dst"], "left_anti"))
         nxt = cut(best(g.unionByName(new)))
         changed = nxt.join(g, ["src", "dst"], "left_anti").count()
         g = nxt
-        if changed <= delta * k * n:
+        if changed <= delta * pool * n:
             break
-    return g
+    return best(g, k) if pool > k else g
 
 
 def nn_descent_query(graph: DataFrame, df: DataFrame, queries: DataFrame, k: int, l_search: int = L_SEARCH, seeds: int = 10, seed: int = 0) -> DataFrame:

@@ -413,7 +413,7 @@ def vamana_query_L100(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N
 @query()
 def nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An approximate graph of ten neighbours."""
-    return graph.nn_descent(_base(spark, sf_dir), 10, rounds=5)
+    return graph.nn_descent(_base(spark, sf_dir), 10)
 
 
 # Indexes from end to end, in the shared folder
