@@ -28,3 +28,14 @@ def test_nn_descent(spark, distances):
     print("nn_descent", found)
     assert len(got) == len(set(got)) == K * len(d) and found >= 0.9
 
+
+def test_bfs_reaches_all_that_can_be_reached(spark, distances):
+    d = distances.copy()
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, 1, kind="stable")[:, :5]
+    want, level = {0: 0}, [0]
+    while level:
+        level = sorted({int(j) for i in level for j in near[i]} - set(want))
+        want |= dict.fromkeys(level, max(want.values()) + 1)
+    got = {r.node: r.level for r in QUERIES["bfs_all_levels"](spark, SF).collect()}
+    assert got == want and max(got.values()) > 6

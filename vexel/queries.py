@@ -397,6 +397,12 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bfs(cut(graph.knn_graph(_base(spark, sf_dir), 5)), [0], 6)
 
 
+@query()
+def bfs_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bfs_levels without a bound: every vector that can be reached. No SQL: a recursion over (node, level) never ends on a cycle."""
+    return graph.bfs(cut(graph.knn_graph(_base(spark, sf_dir), 5)), [0])
+
+
 @query(f"SELECT src, dst, score + 1 AS score FROM ({_EDGES}) e JOIN embeddings v ON v.vec_id = e.src WHERE v.label = 3")
 def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose stored score is not their ends' distance: those that were falsified, from vectors of label 3."""
