@@ -56,3 +56,15 @@ def test_nulls_empty_long_and_repeats(spark):
     got = sorted((r.doc_id or 0, r.start) for r in sc.scan(d.selectExpr("doc_id", "text", "1 AS start", "2 AS named")).collect())
     assert got == [(0, 12), (3, 12), (3, 12), (4, 1_500_012)]
     assert sc.scan(d.limit(0)).count() == 0
+
+
+def test_letters_only_are_judged_by_the_ratio():
+    import random
+    import string
+
+    rng = random.Random(0)
+    shapes = [lambda: "".join(rng.choices(string.ascii_lowercase, k=32)), lambda: "".join(rng.choices(string.ascii_uppercase, k=32)), lambda: "sk_live_" + "".join(rng.choices(string.ascii_letters, k=24)), lambda: "".join(rng.choices(string.ascii_lowercase, k=16))]
+    for f, bare in zip(shapes, (0.95, 0.95, 0.95, 0.8)):
+        words = [f() for _ in range(300)]
+        assert len(sc.scan_texts(pa.array([f'token = "{w}"' for w in words]))) >= 0.99 * len(words)
+        assert len(sc.scan_texts(pa.array([f"see {w} here" for w in words]))) >= bare * len(words)

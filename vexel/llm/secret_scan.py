@@ -24,6 +24,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MIN_CHARS = 16
 MAX_RATIO = 2.5
+#: What has the shape of a word, name or path is reported below this ratio, unless the text calls it a credential.
+NAME_RATIO = 1.9
 
 _KEY = np.zeros(256, bool)
 for _c in b"+/_-":
@@ -32,10 +34,12 @@ _KEY[48:58] = _KEY[65:91] = _KEY[97:123] = True
 
 _NAMED = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)s?[\"']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}[\"']?$", re.I)
 _DIGEST = re.compile(rb"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
-_IDENTIFIER = re.compile(
+_KNOWN = re.compile(
     rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
-    rb"|[0-9+/_-]+"  # numbers, dates
-    rb"|[a-z+/_-]+|[A-Z+/_-]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*"  # words and names without a digit
+    rb"|[0-9+/_-]+",  # numbers, dates
+)
+_NAME = re.compile(
+    rb"[a-z+/_-]+|[A-Z+/_-]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*"  # words and names without a digit
     rb"|(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}"  # paths and snake_case names
 )
 
@@ -77,12 +81,10 @@ def scan_texts(texts: pa.Array, vocabulary: str = VOCABULARY, min_chars: int = M
         for r, s, e in zip(*(x.tolist() for x in candidates(b, o, min_chars))):
             word = b[s:e].tobytes()
             named = _NAMED.search(b[max(o[r], s - 48) : s].tobytes()) is not None
-            if not named and (_DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word)):
-                continue
-            if named and (_IDENTIFIER.fullmatch(word) and not _DIGEST.fullmatch(word)):
+            if _KNOWN.fullmatch(word) and not (named and _DIGEST.fullmatch(word)) or not named and _DIGEST.fullmatch(word):
                 continue
             n = len(encoding(vocabulary).encode_ordinary(word.decode()))
-            if (e - s) / n < max_ratio:
+            if (e - s) / n < (min(NAME_RATIO, max_ratio) if not named and _NAME.fullmatch(word) else max_ratio):
                 start = int(((b[o[r] : s] & 0xC0) != 0x80).sum())
                 found.append((i + r, start, e - s, n, (e - s) / n, named, word[:4].decode() + "*" * (e - s - 4), hashlib.sha256(word).hexdigest()))
     return found
