@@ -41,3 +41,13 @@ def test_nulls_empty_repeats_and_no_labels(spark):
         x = sq.with_score(d, none)
         assert x.where("_vx_p is not null").count() == 0 and x.columns == [*d.columns, "_vx_p"]
     assert sq.with_score(d.limit(0), labels).count() == 0
+
+
+def test_query_rejects_toxic_documents_it_has_not_seen(spark, tmp_path):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("doc_id % 4 <> 0").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sq.op8_subword_quality(spark, str(tmp_path)).join(labels.where("doc_id % 4 = 0 AND quality = 1"), "doc_id")
+    got = {r.toxic: (r.kept, r.n) for r in got.groupBy("toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    print(got)
+    assert got[1][0] < 0.2 and got[0][0] > 0.95, got

@@ -131,27 +131,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     return fold(*train(got["text"], y)) if len(set(y.tolist())) == 2 else None
 
 
-def with_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with _vx_p, the probability that the document is of good quality.
+def with_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, label: str = "quality", name: str = "_vx_p") -> DataFrame:
+    """docs with `name`, the probability that the document's label is 1: by default, that it is of good quality.
 
     Null for a null or empty text and where there are no labels of both classes to learn
     from. Rows are scored one by one, so repeats and null ids change nothing; other columns pass through.
     """
-    folded = fit(docs, labels, train_rows=train_rows)
+    return _with_model(docs, fit(docs, labels, label, train_rows), name)
+
+
+def _with_model(docs: DataFrame, folded: np.ndarray | None, name: str) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(folded)
     at = docs.columns.index("text")
-    schema = plus(docs, "_vx_p", "double")
+    schema = plus(docs, name, "double")
 
     def run(batches):
         for b in batches:
             p = np.full(b.num_rows, np.nan) if weights.value is None else score(b.column(at), weights.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, mask=np.isnan(p))], names=[*b.schema.names, "_vx_p"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, mask=np.isnan(p))], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, p_good, keep) of every document; what can't be scored is kept."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = with_score(docs, table(spark, sf_dir, "labels"))
-    return d.select("doc_id", F.col("_vx_p").alias("p_good"), (F.coalesce("_vx_p", F.lit(1.0)) >= THRESHOLD).alias("keep"))
+    """(doc_id, p_good, p_toxic, keep) of every document; one that is not good or that is toxic is not kept, what can't be scored is."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    d = with_score(docs, labels)
+    if "toxic" in labels.columns:
+        toxic = fit(docs, labels, "toxic")
+        d = _with_model(d, toxic, "_vx_toxic")
+    else:
+        d = d.withColumn("_vx_toxic", F.lit(None).cast("double"))
+    keep = (F.coalesce("_vx_p", F.lit(1.0)) >= THRESHOLD) & (F.coalesce("_vx_toxic", F.lit(0.0)) < THRESHOLD)
+    return d.select("doc_id", F.col("_vx_p").alias("p_good"), F.col("_vx_toxic").alias("p_toxic"), keep.alias("keep"))
