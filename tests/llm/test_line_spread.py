@@ -23,9 +23,15 @@ def brute(rows, min_sites):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [ls.BROADCAST_LINES, -1])
-def test_both_ways_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(ls, "BROADCAST_LINES", limit)
+@pytest.fixture(params=["10485760", "-1"], ids=["small", "large"])
+def threshold(spark, request):
+    """Both of Spark's ways to join the lists of lines to the documents."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_both_ways_against_brute_force(spark, threshold):
     docs = table(spark, SF, "documents").select("doc_id", "source", "text")
     rows = [tuple(r) for r in docs.collect()]
     for n in (3, ls.MIN_SITES):
@@ -34,9 +40,23 @@ def test_both_ways_against_brute_force(spark, monkeypatch, limit):
     assert sum(k for *_, k in brute(rows, 3)) > 0
 
 
-@pytest.mark.parametrize("limit", [ls.BROADCAST_LINES, -1])
-def test_nulls_repeats_ties_empty(spark, monkeypatch, limit):
-    monkeypatch.setattr(ls, "BROADCAST_LINES", limit)
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_ids_of_any_type(spark, threshold, kind):
+    one = {"string": lambda i: f"d{i:02}"}.get(kind, int)
+    rows = [(one(i), f"site{i}", "shared by all\n" + f"own {i}") for i in range(12)] + [(None, "x", "shared by all"), (None, "x", "quite other")]
+    d = spark.createDataFrame(rows, f"doc_id {kind}, source string, text string")
+    got = sorted(((r.doc_id, r.text, r._vx_removed) for r in ls.without_boilerplate(d).collect()), key=str)
+    assert got == brute(rows, ls.MIN_SITES) and sum(n for *_, n in got) == 12
+
+
+def test_reserved_and_dotted_names(spark, threshold):
+    d = spark.range(12).selectExpr("id AS doc_id", "concat('s', id) AS source", "'a line' AS text", "1 AS _vx_removed", "2 AS `a.b`", "3 AS _vx_drop", "4 AS h", "5 AS row")
+    got = ls.without_boilerplate(d)
+    assert got.columns == [*d.columns, "_vx_removed_"]
+    assert sorted(r["_vx_removed_"] for r in got.collect()) == [0] + [1] * 11 and {r["a.b"] for r in got.collect()} == {2}
+
+
+def test_nulls_repeats_ties_empty(spark, threshold):
     rows = [(1, "a", "same\nown 1"), (2, "b", " same \n\nown 2"), (3, "c", "same"), (3, "c", "same"), (4, None, "same\nx"), (None, "d", "same\ny"), (5, "a", None), (6, "a", ""), (7, "a", "pair\npair"), (8, "b", "pair"), (9, "e", "long " * 100_000 + "\nsame")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("h", F.lit(1)).withColumn("site", F.lit("s"))
     got = ls.without_boilerplate(d, 3)

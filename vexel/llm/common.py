@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session's spark.checkpoint.dir names it; a local one only where that is unset."""
+    """The folder all executors share, as the session's spark.checkpoint.dir names it. Where that is unset: a temporary one in local mode, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="vexel-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/vexel-{name}-{uuid.uuid4().hex}"
+    """Write df as a table in the shared folder and read it again: cuts the lineage, outlives a lost executor. The table goes with drop_cut(), else when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/vexel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._vexel_path = path
     return out
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete a table that cut() wrote; only once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._vexel_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, p = _hadoop(df.sparkSession, df._vexel_path)
+    fs.delete(p, True)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever dots and signs their names have."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +102,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def plus(df: DataFrame, name: str, kind: str) -> T.StructType:
     """df's schema with one more column."""
     return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow() for columns of any name: the batches have columns 0, 1, ...; what comes out is named by schema."""
+    return df.toDF(*map(str, range(len(df.columns)))).mapInArrow(run, schema)

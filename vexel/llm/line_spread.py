@@ -16,20 +16,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, plus, table
+from .common import columns, cut, drop_cut, free, map_arrow, plus, table
 
 MIN_SITES = 10
 LG_K = 10
 SIGMAS = 4.0
-#: Boilerplate lines (16 bytes each) that may be sent to every executor; beyond it they are joined.
-BROADCAST_LINES = 500_000
 HASH_SEED = 42  # Spark's xxhash64()
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, h) per line that isn't blank; h is the hash of the line without spaces at its ends."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("site"), F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-    return d.select("doc_id", "site", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "site", F.xxhash64("line").alias("h"))
+    """(doc_id, row, site, h) per line that isn't blank; h is the hash of the line without spaces at its ends, row that of the document's id and text."""
+    text = F.col("text").cast("string")
+    d = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), F.col("source").cast("string").alias("site"), F.explode(F.split(text, "\n")).alias("line"))
+    return d.select("doc_id", "row", "site", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "row", "site", F.xxhash64("line").alias("h"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, sigmas: float = SIGMAS) -> DataFrame:
@@ -41,55 +40,55 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     sure = spread.where(F.col("sites") > min_sites + margin).select("h", "first_doc")
     near = spread.where(F.col("sites") <= min_sites + margin).select("h", "first_doc")
     exact = lines.join(near.select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
-    return cut(sure.unionByName(near.join(exact.select("h"), "h", "left_semi")), "boilerplate")
+    found = cut(sure.unionByName(near.join(exact.select("h"), "h", "left_semi")), "boilerplate")
+    drop_cut(spread)
+    return found
 
 
-def _strip(text: bytes, doc_id, drop: dict[int, int]) -> tuple[bytes, int]:
-    """text without the lines of `drop` (hash to first document), and how many they were."""
+def _strip(text: bytes, drop: set[int]) -> tuple[bytes, int]:
+    """text without the lines whose hashes are in `drop`, and how many they were."""
     lines = text.split(b"\n")
-    kept = [x for x in lines if not (y := x.strip(b" ")) or (first := drop.get(xxhash.xxh64_intdigest(y, HASH_SEED), False)) is False or (doc_id is not None and first == doc_id)]
-    return (b"\n".join(kept), len(lines) - len(kept)) if len(kept) < len(lines) else (text, 0)
+    kept = [x for x in lines if not (y := x.strip(b" ")) or xxhash.xxh64_intdigest(y, HASH_SEED) not in drop]
+    return b"\n".join(kept), len(lines) - len(kept)
 
 
 def strip_lines(docs: DataFrame, lines: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with `text` stripped of the boilerplate found, and _vx_removed: how many lines went (null: no text)."""
-    at = {c: i for i, c in enumerate(docs.columns)}
-    out = plus(docs, "_vx_removed", "int")
-    if found.count() <= BROADCAST_LINES:
-        drop = docs.sparkSession.sparkContext.broadcast({r.h & 0xFFFFFFFFFFFFFFFF: r.first_doc for r in found.collect()})
-
-        def run(batches):
-            for b in batches:
-                text, n = [], []
-                ids = b.column(at["doc_id"])
-                raw = b.column(at["text"]).cast(pa.binary() if not pa.types.is_large_string(b.column(at["text"]).type) else pa.large_binary())
-                for t, i in zip(raw, ids):
-                    t, i = t.as_py(), i.as_py()
-                    t, k = (None, None) if t is None else _strip(t, i, drop.value)
-                    text.append(t)
-                    n.append(k)
-                cols = list(b.columns)
-                cols[at["text"]] = pa.array(text, raw.type).cast(b.column(at["text"]).type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32())], names=[*b.schema.names, "_vx_removed"])
-
-        return docs.mapInArrow(run, out)
-    hits = lines.join(found, "h").where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc").groupBy("doc_id").agg(F.collect_set("h").alias("_vx_drop")).withColumnRenamed("doc_id", "_vx_id")
-    d = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["_vx_id"]), "left")
-    split = F.split(F.col("text"), "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_vx_drop"), F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
-    d = d.withColumn("_vx_kept", F.when(F.col("_vx_drop").isNull(), split).otherwise(kept))
-    removed = F.when(F.col("text").isNotNull(), F.size(split) - F.size("_vx_kept")).cast("int")
-    d = d.withColumns({"_vx_removed": removed, "text": F.when(removed > 0, F.array_join("_vx_kept", "\n")).otherwise(F.col("text"))})
-    return d.select(*docs.columns, "_vx_removed")
+    """docs with `text` stripped of the boilerplate found, and one more column: how many lines went (null: no text).
+
+    What each document loses is joined to it by id and text hash, so repeated rows and rows without an id are told
+    apart by their texts and no list is longer than its document. Spark sends the lists to the tasks if they are few, else both sides are sorted.
+    """
+    removed, row, drop, own, key = free(docs, "_vx_removed", "_vx_row", "_vx_drop", "_vx_own", "_vx_key")
+    hits = lines.join(found, "h").where("first_doc IS NULL OR doc_id IS NULL OR doc_id <> first_doc").groupBy("row", "doc_id").agg(F.collect_set("h").alias(drop))
+    hits = hits.select(F.col("row").alias(own), F.col("doc_id").alias(key), drop)
+    d = docs.withColumn(row, F.xxhash64("doc_id", F.col("text").cast("string")))
+    d = d.join(hits, (F.col(row) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(key)), "left").select(*columns(docs), drop)
+    at, n, out = docs.columns.index("text"), len(docs.columns), plus(docs, removed, "int")
+    names = out.names
+
+    def run(batches):
+        for b in batches:
+            col, todo = b.column(at), np.flatnonzero(np.asarray(b.column(n).is_valid()))
+            gone, cols = np.zeros(b.num_rows, np.int32), b.columns[:n]
+            if len(todo):
+                text = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
+                for i in todo.tolist():
+                    text[i], gone[i] = _strip(text[i], {h & 0xFFFFFFFFFFFFFFFF for h in b.column(n)[i].as_py()})
+                cols[at] = pa.array(text, pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).cast(col.type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, mask=~np.asarray(col.is_valid()))], names=names)
+
+    return map_arrow(d, run, out)
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with their boilerplate lines removed and _vx_removed, the number of lines that went.
+    """docs with their boilerplate lines removed and, last, _vx_removed (or a longer free name): the number of lines that went.
 
     Lines are compared without spaces at their ends; blank lines always stay. A null text stays
-    null (_vx_removed null) and an empty one empty. A document with a null doc_id is never the first to
+    null (_vx_removed null) and an empty one empty. Ids are compared in their own type, so that strings have the
+    least in their order. A document with a null doc_id is never the first to
     have a line; one with a null source adds no site. Repeated rows count as one site and as the same
-    document. An empty table stays empty; other columns pass through.
+    document. A text of any length is taken whole, as one task's row; a line of any length is one hash. Ties can't arise: the least id is one document.
+    An empty table stays empty; other columns pass through, whatever their names.
     """
     lines = cut(line_table(docs), "lines")
     return strip_lines(docs, lines, boilerplate(lines, min_sites))
@@ -98,7 +97,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, lines_removed) of every document, boilerplate lines removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return without_boilerplate(docs).select("doc_id", "text", F.col("_vx_removed").alias("lines_removed"))
+    d = without_boilerplate(docs)
+    return d.select("doc_id", "text", F.col(d.columns[-1]).alias("lines_removed"))
 
 
 OP10_SQL = f"""
