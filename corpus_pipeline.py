@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vexel.llm.best_fit import pack_documents
-from vexel.llm.common import cut, table
+from vexel.llm.common import columns, cut, drop_cut, table
 from vexel.llm.cube_mix import keep_sample
 from vexel.llm.line_spread import without_boilerplate
 from vexel.llm.simhash_forest import drop_near_duplicates
@@ -19,11 +19,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines, n_chars brought up to date; one that consisted of nothing else goes."""
-    d = without_boilerplate(docs).where((F.col("_vx_removed") == 0) | F.col("_vx_removed").isNull() | (F.trim(F.regexp_replace("text", r"\s+", "")) != ""))
+    """Documents without cross-site boilerplate lines, n_chars brought up to date; one that consisted of nothing else goes.
+
+    Null and empty texts stay, repeated rows are stripped alike, a text of any length is taken whole; an empty table stays empty.
+    """
+    d = without_boilerplate(docs)
+    removed = F.col(d.columns[-1])
+    d = d.where((removed == 0) | removed.isNull() | (F.trim(F.regexp_replace("text", r"\s+", "")) != ""))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_vx_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return d.select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
