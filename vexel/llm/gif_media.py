@@ -1,77 +1,40 @@
 """GIF media columns: timed frames and colour histograms from GIF bytes.
 
 The LZW code stream is decoded without a loop over its codes. Between two clear codes the code
-widths follow from the codes' numbers alone, so all codes are cut out of the bit stream at
-once. A dictionary entry is a copy of what was put out for an earlier code and one pixel more, so each pixel
-either is given or equals an earlier one; following these links by pointer doubling resolves a whole segment
-in as many steps as the logarithm of its longest chain.
+widths follow from the codes' numbers alone, so codes are cut out of the bit stream many at
+once. While the table grows, an entry is a copy of what was put out for an earlier code and one pixel more, so each
+pixel either is given or equals an earlier one; following these links by pointer doubling resolves them
+in as many steps as the logarithm of the longest chain. Once the table is full, its entries are stretches of
+what was put out so far, and further codes are looked up in windows of bounded size until the next clear code. No more codes
+are read than an image has pixels, and pixels are handed on in pieces, so memory is bounded by the
+band of the canvas being drawn. A canvas above `band_pixels` is drawn and given out in bands of rows.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import table
+from .common import map_arrow, quoted, table
 
 HIST_BINS = 8
-#: Size and number of the frames that op1 draws for a page.
-SIDE, FRAMES = 16, 3
+#: Pixels of canvas drawn at a time; a larger canvas is drawn in bands of whole rows, one after the other.
+BAND_PIXELS = 1 << 23
+#: Bytes of frames given out in one Arrow batch, about.
+BATCH_BYTES = 64 << 20
+#: Pixels decoded at a time.
+PIECE = 1 << 18
+#: Frames that op1 draws for a page, and the bytes of html that make a pixel of one of them.
+FRAMES, BYTES_PER_PIXEL = 3, 6
 
-FRAME_SCHEMA = "frame int, start_ms int, delay_ms int, width int, height int, disposal int, transparent int, rgba binary, opaque int, hist_r array<int>, hist_g array<int>, hist_b array<int>, error string"
-
-
-def lzw_encode(pixels: bytes, code_size: int) -> bytes:
-    """The LZW stream of pixels below 2**code_size, with a clear code at the start and whenever the table is full."""
-    clear = 1 << code_size
-    acc = nbits = 0
-    out = bytearray()
-    codes: dict[tuple[int, int], int] = {}
-    nxt, width = clear + 2, code_size + 1
-    acc, nbits = clear, width
-    cur = -1
-    for p in pixels:
-        if cur < 0:
-            cur = p
-            continue
-        code = codes.get((cur, p))
-        if code is not None:
-            cur = code
-            continue
-        acc |= cur << nbits
-        nbits += width
-        while nbits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            nbits -= 8
-        if nxt < 4096:
-            codes[cur, p] = nxt
-            nxt += 1
-            if nxt > 1 << width and width < 12:
-                width += 1
-        else:
-            acc |= clear << nbits
-            nbits += width
-            codes.clear()
-            nxt, width = clear + 2, code_size + 1
-        cur = p
-    for code in ([cur] if cur >= 0 else []) + [clear + 1]:
-        acc |= code << nbits
-        nbits += width
-        if code != clear + 1 and nxt < 4096:
-            nxt += 1
-            if nxt > 1 << width and width < 12:
-                width += 1
-    while nbits > 0:
-        out.append(acc & 255)
-        acc >>= 8
-        nbits -= 8
-    return bytes(out)
+FRAME_SCHEMA = "frame int, top int, rows int, start_ms int, delay_ms int, width int, height int, disposal int, transparent int, rgba binary, opaque int, hist_r array<int>, hist_g array<int>, hist_b array<int>, error string"
 
 
 def _schedule(code_size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,61 +48,132 @@ def _schedule(code_size: int) -> tuple[np.ndarray, np.ndarray]:
 _schedules = {k: _schedule(k) for k in range(1, 12)}
 
 
-def lzw_decode(data: bytes, code_size: int, n_pixels: int) -> np.ndarray:
-    """The first n_pixels indices of an LZW stream; fewer if it ends early. ValueError for a code that can't be."""
+def lzw_encode(pixels: bytes, code_size: int) -> bytes:
+    """The LZW stream of pixels below 2**code_size, with a clear code at the start and whenever the table is full."""
+    clear = 1 << code_size
+    out, parts, known, nxt = [], [], {}, clear + 2
+    cur = pixels[0] if pixels else -1
+    for p in pixels[1:]:
+        pair = cur << 8 | p
+        if (code := known.get(pair)) is not None:
+            cur = code
+            continue
+        out.append(cur)
+        if nxt < 4096:
+            known[pair] = nxt
+            nxt += 1
+        else:
+            parts.append([*out, clear])
+            out, known, nxt = [], {}, clear + 2
+        cur = p
+    parts.append([*out, *([cur] if cur >= 0 else []), clear + 1])
+    widths = _schedules[code_size][1]
+    width = np.concatenate([[code_size + 1], *(widths[: len(x)] for x in parts)])
+    code = np.concatenate([[clear], *parts]).astype(np.int64)
+    at = np.cumsum(width) - width
+    n = (int(at[-1] + width[-1]) + 7) // 8
+    code <<= at & 7
+    got = sum(np.bincount((at >> 3) + k, (code >> (8 * k)) & 255, n + 3) for k in range(3))
+    return got[:n].astype(np.uint8).tobytes()
+
+
+def lzw_pixels(data: bytes, code_size: int, n_pixels: int, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """The first n_pixels indices of an LZW stream, in pieces; fewer if it ends early. ValueError for a code that can't be."""
     clear = 1 << code_size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    total, bit = len(data) * 8, 0
-    parts, have = [], 0
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    total, bit, left = len(data) * 8, 0, n_pixels
     offs, widths = _schedules[code_size]
-    while have < n_pixels and bit + code_size + 1 <= total:
-        # All codes up to the next clear or end code.
-        fit = int(np.searchsorted(offs + widths, total - bit, "right"))
-        o, w = offs[:fit], widths[:fit]
-        if fit == len(offs) and (more := (total - bit - int(offs[-1]) - 12) // 12) > 0:  # a full table goes on with 12 bits
-            o = np.concatenate([o, offs[-1] + 12 * np.arange(1, more + 1)])
-            w = np.concatenate([w, np.full(more, 12)])
-        if not len(o):
-            break
-        at = bit + o
+
+    def read(at: np.ndarray, width) -> tuple[np.ndarray, int]:
+        """(codes, number of them before the next clear or end code)."""
         byte = at >> 3
-        codes = ((raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)) >> (at & 7).astype(np.uint32)).astype(np.int64) & ((1 << w) - 1)
-        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        n = int(stop[0]) if len(stop) else len(codes)
+        got = raw[byte].astype(np.int32) | raw[byte + 1].astype(np.int32) << 8 | raw[byte + 2].astype(np.int32) << 16
+        got = (got >> (at & 7).astype(np.int32)) & ((1 << width) - 1)
+        stop = np.flatnonzero((got == clear) | (got == clear + 1))
+        return got, int(stop[0]) if len(stop) else len(got)
+
+    while left > 0 and bit + code_size + 1 <= total:
+        fit = min(int(np.searchsorted(offs + widths, total - bit, "right")), left + 1)
+        codes, n = read(bit + offs[:fit], widths[:fit])
         if n:
-            parts.append(_expand(codes[:n], clear))
-            have += len(parts[-1])
-        if not len(stop) or codes[n] == clear + 1:
-            break
-        bit += int(o[n] + w[n])
-    return np.concatenate(parts)[:n_pixels] if parts else np.zeros(0, np.uint8)
+            text, start, length = _grow(codes[:n], clear, left)
+            for s in range(0, len(text), piece):
+                yield text[s : s + piece]
+            left -= len(text)
+        if n < len(codes):
+            if codes[n] == clear + 1:
+                return
+            bit += int(offs[n] + widths[n])
+            continue
+        if fit < len(offs) or left <= 0:
+            return
+        bit += int(offs[-1] + widths[-1])  # the table is full and stays as it is until it is cleared
+        first = np.arange(4096)
+        first[clear + 2 :] = clear + start[: 4094 - clear]
+        long = np.ones(4096, np.int64)
+        long[clear + 2 :] = length[: 4094 - clear] + 1
+        source = np.concatenate([np.arange(clear, dtype=np.uint8), text])
+        window = 4096
+        while (k := min(window, (total - bit) // 12, left)) > 0:
+            codes, n = read(bit + 12 * np.arange(k), 12)
+            done = 0
+            while done < n and left > 0:
+                ends = np.cumsum(long[codes[done : min(n, done + piece)]])
+                m = max(1, int(np.searchsorted(ends, min(piece, left), "right")))
+                m += m < len(ends) and ends[m - 1] < left <= piece
+                c, ends = codes[done : done + m], ends[:m]
+                size = long[c]
+                yield source[np.repeat(first[c] - ends + size, size) + np.arange(ends[-1])][:left]
+                left -= int(min(left, ends[-1]))
+                done += m
+            bit += 12 * (n + (n < k))
+            if n < k:
+                if codes[n] == clear + 1:
+                    return
+                break
+            window = min(2 * window, PIECE)
+        else:
+            return
+
 
+def lzw_decode(data: bytes, code_size: int, n_pixels: int) -> np.ndarray:
+    """lzw_pixels() in one piece."""
+    return np.concatenate([np.zeros(0, np.uint8), *lzw_pixels(data, code_size, n_pixels)])
 
-def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
-    index = np.arange(len(codes))
+
+def _grow(codes: np.ndarray, clear: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pixels, at most `most`; start and length of each code's) of the codes after a clear code, as long as the table grows."""
+    index = np.arange(len(codes), dtype=np.int32)
     entry = codes - (clear + 2)
     copy = entry >= 0
-    if copy[0] or (entry >= index)[copy].any():
-        raise ValueError("LZW code out of range")
+    bad = np.flatnonzero(copy & (entry >= index))
+    if len(bad):
+        codes, index, entry, copy = (x[: bad[0]] for x in (codes, index, entry, copy))
     parent = np.where(copy, entry, index)
-    depth, up = copy.astype(np.int64), parent
+    length, up = 1 + copy.astype(np.int32), parent
     while True:
         nxt = up[up]
         if np.array_equal(nxt, up):
             break
-        depth = depth + depth[up]
+        length = length + length[up] - 1
         up = nxt
-    length = depth + 1
-    start = np.cumsum(length) - length
-    owner = np.repeat(index, length)
-    pixel = np.arange(int(length.sum()))
-    link = np.where(copy[owner], start[parent[owner]] + pixel - start[owner], pixel)
+    end = np.cumsum(length, dtype=np.int64)
+    if len(bad) and (not len(end) or end[-1] < most):
+        raise ValueError("LZW code out of range")
+    start = end - length
+    if end[-1] > most:
+        n = int(np.searchsorted(end, most)) + 1
+        codes, index, parent, copy = codes[:n], index[:n], parent[:n], copy[:n]
+    size = length[: len(codes)]
+    owner = np.repeat(index, size)
+    pixel = np.arange(len(owner), dtype=np.int32)
+    link = np.where(copy[owner], (start[parent] - start[: len(codes)]).astype(np.int32)[owner] + pixel, pixel)
     while True:
         nxt = link[link]
         if np.array_equal(nxt, link):
             break
         link = nxt
-    return codes[owner[link]].astype(np.uint8)
+    return codes.astype(np.uint8)[owner[link]][:most], start, length
 
 
 def _blocks(b: bytes, at: int) -> tuple[bytes, int]:
@@ -155,34 +189,17 @@ def _histogram(rgba: np.ndarray) -> tuple[int, np.ndarray]:
     return len(seen), np.stack([np.bincount(seen[:, c] >> 5, minlength=HIST_BINS) for c in range(3)]).astype(np.int32)
 
 
-def decode_gif(b: bytes | None) -> list[dict]:
-    """The frames as they are shown: the canvas after each image, as RGBA bytes, with timing and histograms.
-
-    Not drawn parts and transparent pixels have alpha 0. Disposal 2 clears the image's area
-    after its time, disposal 3 brings back what was there before; interlaced images are put in
-    order. A broken or cut file gives the frames before the break (of a cut image, the pixels there are) and then
-    one row with `error`; null and empty bytes, and a file without an image, give that row only.
-    """
-    frames: list[dict] = []
-
-    def fail(why: str) -> list[dict]:
-        return [*frames, {"error": why}]
-
-    if not b:
-        return fail("no data")
-    if b[:6] not in (b"GIF87a", b"GIF89a") or len(b) < 13:
-        return fail("not a GIF")
+def _images(b: bytes) -> tuple[int, int, list[dict], str | None]:
+    """(width, height, images with their undecoded data and control values, what is wrong after them)."""
+    width, height, packed = struct.unpack("<HHB", b[6:11])
+    found: list[dict] = []
     try:
-        width, height, packed = struct.unpack("<HHB", b[6:11])
-        if width * height == 0 or width * height > 1 << 26:
-            return fail("bad size")
         at, palette = 13, None
         if packed & 0x80:
             n = 2 << (packed & 7)
             palette = np.frombuffer(b, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
-        canvas = np.zeros((height, width, 4), np.uint8)
-        disposal, delay, transparent, clock = 0, 0, -1, 0
+        disposal, delay, transparent = 0, 0, -1
         while at < len(b) and b[at] != 0x3B:
             if b[at] == 0x21:
                 kind = b[at + 1]
@@ -192,7 +209,7 @@ def decode_gif(b: bytes | None) -> list[dict]:
                     transparent = body[3] if body[0] & 1 else -1
                 continue
             if b[at] != 0x2C:
-                return fail(f"unknown block {b[at]}")
+                return width, height, found, f"unknown block {b[at]}"
             left, top, w, h, packed = struct.unpack("<HHHHB", b[at + 1 : at + 10])
             at += 10
             colours = palette
@@ -201,38 +218,83 @@ def decode_gif(b: bytes | None) -> list[dict]:
                 colours = np.frombuffer(b, np.uint8, 3 * n, at).reshape(n, 3)
                 at += 3 * n
             if colours is None:
-                return fail("no palette")
+                return width, height, found, "no palette"
             code_size = b[at]
             if not 1 <= code_size <= 8:
-                return fail("bad code size")
+                return width, height, found, "bad code size"
             data, at = _blocks(b, at + 1)
-            pixels = lzw_decode(data, code_size, w * h)
-            cut = len(pixels) < w * h
-            index = np.full(w * h, -1, np.int64)
-            index[: len(pixels)] = pixels
-            index = index.reshape(h, w)
-            if packed & 0x40:
-                rows = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
-                index[rows] = index.copy()
-            before = canvas.copy() if disposal == 3 else None
-            area = canvas[top : top + h, left : left + w]
-            shown = index[: area.shape[0], : area.shape[1]]
-            draw = (shown >= 0) & (shown != transparent) & (shown < len(colours))
-            area[draw, :3] = colours[shown[draw]]
-            area[draw, 3] = 255
-            opaque, hist = _histogram(canvas)
-            frames.append({"frame": len(frames), "start_ms": clock, "delay_ms": delay, "width": width, "height": height, "disposal": disposal, "transparent": transparent, "rgba": canvas.tobytes(), "opaque": opaque, "hist_r": hist[0], "hist_g": hist[1], "hist_b": hist[2]})
-            clock += delay
-            if cut:
-                return fail("image data ends early")
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                canvas = before
+            found.append({"left": left, "top": top, "w": w, "h": h, "interlaced": bool(packed & 0x40), "colours": colours, "code_size": code_size, "data": data, "disposal": disposal, "delay": delay, "transparent": transparent})
             disposal, delay, transparent = 0, 0, -1
     except (IndexError, ValueError, struct.error) as e:
-        return fail(f"broken: {type(e).__name__}")
-    return frames if frames else fail("no image")
+        return width, height, found, f"broken: {type(e).__name__}"
+    return width, height, found, None if found else "no image"
+
+
+def _draw(canvas: np.ndarray, first: int, m: dict) -> int:
+    """Draws an image into the band of the canvas that begins at row `first`; gives the number of pixels its data has."""
+    shown, colour = np.zeros(256, bool), np.zeros(256, "<u4")
+    shown[: len(m["colours"])] = True
+    if m["transparent"] >= 0:
+        shown[m["transparent"]] = False
+    colour[: len(m["colours"])] = m["colours"].astype("<u4") @ np.array([1, 1 << 8, 1 << 16], "<u4") + np.uint32(0xFF << 24)
+    w, h, at = m["w"], m["h"], 0
+    order = np.concatenate([np.arange(y, h, step) for y, step in ((0, 8), (4, 8), (2, 4), (1, 2))]) if m["interlaced"] else np.arange(h)
+    order += m["top"] - first
+    for px in lzw_pixels(m["data"], m["code_size"], w * h):
+        y, x = np.divmod(np.arange(at, at + len(px)), w)
+        y, x = order[y], x + m["left"]
+        draw = shown[px] & (y >= 0) & (y < canvas.shape[0]) & (x < canvas.shape[1])
+        canvas[y[draw], x[draw]] = colour[px[draw]]
+        at += len(px)
+    return at
+
+
+def gif_rows(b: bytes | None, band_pixels: int = BAND_PIXELS) -> Iterator[dict]:
+    """The frames as they are shown: the canvas after each image, as RGBA bytes, with timing and histograms.
+
+    Not drawn parts and transparent pixels have alpha 0. Disposal 2 clears the image's area
+    after its time, disposal 3 brings back what was there before; interlaced images are put in
+    order. A frame has one row, but for a canvas above band_pixels, which has one for each band of `rows` rows from `top` on (the
+    histograms are the band's, too); a file is decoded once for each band. A broken or cut file gives the frames before the break (of a cut image, the pixels there are) and then
+    one row with `error`; null and empty bytes, and a file without an image, give that row only.
+    """
+    if not b:
+        yield {"error": "no data"}
+        return
+    if b[:6] not in (b"GIF87a", b"GIF89a") or len(b) < 13:
+        yield {"error": "not a GIF"}
+        return
+    width, height, images, why = _images(b)
+    if not width * height:
+        yield {"error": "bad size"}
+        return
+    step = max(1, band_pixels // width)
+    for first in range(0, height if images else 0, step):
+        canvas, clock = np.zeros((min(step, height - first), width), "<u4"), 0
+        for k, m in enumerate(images):
+            area = canvas[max(0, m["top"] - first) : max(0, m["top"] + m["h"] - first), m["left"] : m["left"] + m["w"]]
+            before = area.copy() if m["disposal"] == 3 else None
+            try:
+                cut = _draw(canvas, first, m) < m["w"] * m["h"]
+            except ValueError:
+                why, images = "broken: ValueError", images[:k]
+                break
+            opaque, hist = _histogram(canvas.view(np.uint8).reshape(*canvas.shape, 4))
+            yield {"frame": k, "top": first, "rows": canvas.shape[0], "start_ms": clock, "delay_ms": m["delay"], "width": width, "height": height, "disposal": m["disposal"], "transparent": m["transparent"], "rgba": canvas.tobytes(), "opaque": opaque, "hist_r": hist[0], "hist_g": hist[1], "hist_b": hist[2]}
+            clock += m["delay"]
+            if cut:
+                why, images = "image data ends early", images[: k + 1]
+                break
+            if m["disposal"] == 2:
+                area[:] = 0
+            elif m["disposal"] == 3:
+                area[:] = before
+    if why:
+        yield {"error": why}
+
+
+def decode_gif(b: bytes | None, band_pixels: int = BAND_PIXELS) -> list[dict]:
+    return list(gif_rows(b, band_pixels))
 
 
 def encode_gif(width: int, height: int, palette: np.ndarray, images: list[dict]) -> bytes:
@@ -263,34 +325,48 @@ def encode_gif(width: int, height: int, palette: np.ndarray, images: list[dict])
 
 
 def frames_of(media: DataFrame, key: str, gif: str) -> DataFrame:
-    """(key, frame, start_ms, delay_ms, width, height, disposal, transparent, rgba, opaque, hist_r, hist_g, hist_b, error): a row per frame shown, as decode_gif() has them.
+    """A row (key, frame, top, rows, start_ms, delay_ms, width, height, disposal, transparent, rgba, opaque, hist_r, hist_g, hist_b, error) per frame shown, as gif_rows() has them.
 
-    Every row is decoded, repeated ones again; null keys are values like others. Other columns are not looked at. Empty in, empty out.
+    Every row is decoded, repeated ones again; null keys are values like others. Other columns are not looked at, whatever their names;
+    a key named like a column of the result gets an underscore. A file of any length and canvas is decoded whole, in bounded memory. Empty in, empty out.
     """
-    d = media.select(F.col(key), F.col(gif).alias("_vx_gif"))
-    names = [f.split(" ")[0] for f in FRAME_SCHEMA.split(", ")]
-    kinds = [pa.int32()] * 7 + [pa.binary(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.string()]
+    fields = T._parse_datatype_string(FRAME_SCHEMA).fields
+    names, name = [f.name for f in fields], key
+    while name in names:
+        name += "_"
+    d = media.select(quoted(key), F.col(quoted(gif)).cast("binary"))
+    kinds = [pa.int32()] * 9 + [pa.binary(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.string()]
 
     def run(batches):
         for b in batches:
-            rows, at = [], []
+            rows, at, size = [], [], 0
+
+            def batch():
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array([r.get(c) for r in rows], k) for c, k in zip(names, kinds))], names=[name, *names])
+
             for i, g in enumerate(b.column(1)):
-                got = decode_gif(g.as_py())
-                rows += got
-                at += [i] * len(got)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array([r.get(c) for r in rows], k) for c, k in zip(names, kinds))], names=[key, *names])
+                for r in gif_rows(g.as_py()):
+                    rows.append(r)
+                    at.append(i)
+                    size += len(r.get("rgba") or b"")
+                    if size > BATCH_BYTES:
+                        yield batch()
+                        rows, at, size = [], [], 0
+            yield batch()
 
-    return d.mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, {FRAME_SCHEMA}")
+    return map_arrow(d, run, T.StructType([T.StructField(name, media.schema[key].dataType), *fields]))
 
 
-def page_gif(html: bytes, side: int = SIDE, frames: int = FRAMES) -> bytes:
+def page_gif(html: bytes | None, frames: int = FRAMES) -> bytes:
     """An animated picture of a page's bytes: the tables hold no pictures, so op1's are drawn from the pages.
 
-    Frame f shows the means over side x side equal stretches of the whole text, turned by f; placement, disposal, transparency, interlacing and palettes vary with the text's hash.
+    The picture has a pixel for BYTES_PER_PIXEL bytes of the whole text, 256 at least, and grows with it. Frame f shows the means over
+    equal stretches, turned by f; placement, disposal, transparency, interlacing and palettes vary with the text's hash.
     """
     raw = np.frombuffer(html or b"\0", np.uint8)
-    cells = side * side
-    edges = np.arange(cells + 1) * len(raw) // cells
+    width = max(16, int((len(raw) / BYTES_PER_PIXEL) ** 0.5))
+    height = max(16, -(-len(raw) // (BYTES_PER_PIXEL * width)))
+    edges = np.arange(width * height + 1) * len(raw) // (width * height)
     acc = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
     mean = (acc[edges[1:]] - acc[edges[:-1]]) // np.maximum(1, np.diff(edges))
     h = int(tv.mix(np.array([acc[-1] * 1000003 + len(raw)], np.int64).view(tv.U64))[0])
@@ -298,22 +374,23 @@ def page_gif(html: bytes, side: int = SIDE, frames: int = FRAMES) -> bytes:
     images = []
     for f in range(frames):
         g = h >> (8 * f)
-        px = (np.roll(mean, f * side) // 4 % 16).reshape(side, side)
+        px = (np.roll(mean, f * width) // 4 % 16).reshape(height, width)
         inset = (g % 4) if f else 0
         px = px[inset:, inset:]
         images.append({"pixels": px, "left": inset, "top": inset, "delay": 4 + g % 9, "disposal": (g >> 2) % 4, "transparent": (g >> 4) % 16 if f and g & 1 else None, "interlace": bool(g >> 5 & 1), "palette": palette[::-1] if g >> 6 & 1 else None})
-    return encode_gif(side, side, palette, images)
+    return encode_gif(width, height, palette, images)
 
 
 def page_pictures(pages: DataFrame) -> DataFrame:
-    """(page_id, gif) of every page, from its html."""
+    """(page_id, gif) of every page, from its html; a null or empty one has a picture, too."""
 
     def run(batches):
         for b in batches:
             gifs = [page_gif(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gifs, pa.binary())], names=["page_id", "gif"])
 
-    return pages.select("page_id", F.col("html").cast("binary").alias("html")).mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, gif binary")
+    schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("gif", T.BinaryType())])
+    return map_arrow(pages.select("page_id", F.col("html").cast("binary")), run, schema)
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
