@@ -96,7 +96,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         drop_cut(e)
         e = new
         if done:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._vexel_path = e._vexel_path
+            return out
 
 
 def plus(df: DataFrame, name: str, kind: str) -> T.StructType:

@@ -6,12 +6,14 @@ tries, each over its own random permutation of the bits; a trie's node at depth
 of signatures that share their first d permuted bits.
 
 Where a trie is cut depends on its density: a node is split until it holds `leaf` signatures
-at most, so prefixes are long in dense regions and short in sparse ones. No prefix is longer than
-the depth at which the tries together still find a pair at the radius with the target recall: a
-search that would end deeper climbs to it. The number of tries follows from that depth, and
-where it would exceed `max_tries` the depth itself climbs. All members of a node are then verified on
-the full signatures, every row being a query; a node above `block` rows is cut into pairs of
-blocks, so that it is compared whole, by many tasks.
+at most or is as deep as the table's mean density asks, and one that still holds more than `block` is split on, as deep as
+`max_tries` tries can pay for. How many tries a signature is looked up in depends on its own nodes: it goes from trie to
+trie, each found at the shortest prefix that density allows, until together they find a pair at the radius with the target
+recall. So what lies in sparse regions has short prefixes and few tries, and what lies in dense ones long prefixes and many. Of two signatures the
+one that stops first has reached the recall by itself, so the recall holds for their pair.
+
+All members of a node are then verified on the full signatures, every row being a query. Only a node that
+holds more than `block` rows at the greatest depth is cut into pairs of blocks, so that it is compared whole, by many tasks.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import components, cut, drop_cut, table
+from .common import columns, components, cut, drop_cut, free, table
 
 SHINGLE = 2
 WORDS64 = 4
 BITS = 64 * WORDS64
 RADIUS = 48
-TARGET_RECALL = 0.92
+TARGET_RECALL = 0.95
 LEAF = 1024
 MAX_TRIES = 96
 BLOCK = 4096
@@ -53,27 +56,37 @@ def signatures_of(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, s0..s3) of the documents that have an id and at least one word."""
+    """(id, text_hash, s0..s3) of the documents that have an id and at least one word."""
 
     def run(batches):
         for b in batches:
-            sig, n = signatures_of(b.column(1), shingle)
-            ok = n > 0
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), *(pa.array(sig[ok, i].view(np.int64)) for i in range(WORDS64))], ["id", *_SIG])
+            sig, n = signatures_of(b.column(2), shingle)
+            ok = pa.array(n > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok), *(pa.array(sig[n > 0, i].view(np.int64)) for i in range(WORDS64))], ["id", "text_hash", *_SIG])
 
-    schema = "id long, " + ", ".join(f"{s} long" for s in _SIG)
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null").mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where("id is not null and text is not null")
+    return d.mapInArrow(run, T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ["text_hash", *_SIG])]))
+
+
+def hit_rates(depth: int, radius: int = RADIUS) -> np.ndarray:
+    """The chance that two signatures at the radius share their first d permuted bits, for d from 0 to depth."""
+    i = np.arange(depth)
+    return np.concatenate([[1.0], np.cumprod(np.maximum(0, BITS - radius - i) / (BITS - i))])
+
+
+def tries_for(depth: int, radius: int = RADIUS, recall: float = TARGET_RECALL) -> int:
+    """Tries that together find a pair at the radius with the recall, if all are cut at this depth."""
+    hit = float(hit_rates(depth, radius)[-1])
+    return 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit > 0 else 1 << 62
 
 
 def plan(n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, leaf: int = LEAF, max_tries: int = MAX_TRIES) -> tuple[int, int]:
-    """(greatest depth, tries) for n signatures: as deep as the mean density asks, then climbed until max_tries tries reach the recall for a pair at the radius."""
-    depth = max(0, round(math.log2(max(1, n / leaf))))
-    while True:
-        hit = (1 - radius / BITS) ** depth
-        tries = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log(1 - hit))
-        if tries <= max_tries or not depth:
-            return depth, tries
-        depth -= 1
+    """(depth, greatest depth) for n signatures: what the mean density asks, and what max_tries tries can pay for."""
+    most = 0
+    while most < 20 and tries_for(most + 1, radius, recall) <= max_tries:
+        most += 1
+    return min(most, max(0, math.ceil(math.log2(max(1, n / leaf))))), most
 
 
 def _distance_within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,26 +118,43 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _verify(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is within the radius in one node. side: 0 for rows compared among themselves, else the two blocks compared with each other."""
+def _verify(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, radius: int, trie: int, names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): edges (n 0) that join what is within the radius in one node, and for each row (a = b) the number n of its pairs that no earlier trie has.
+
+    side: 0 for rows compared among themselves, else the two blocks compared with each other. names: gives rows' nodes in the earlier tries.
+    """
     order = np.argsort(ids, kind="stable")
     ids, sig, side = ids[order], sig[order], side[order]
-    a, b = [], []
-    if side.any():
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        for s in range(0, len(left), 256):
-            i, j = _distance_within(sig[left[s : s + 256]], sig[right], radius)
-            a.append(left[s + i])
-            b.append(right[j])
-    else:
-        for s in range(0, len(ids), 256):
+    label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    known: dict[int, int] = {}
+    left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(ids)), None)
+    for s in range(0, len(left), 256):
+        if right is None:
             i, j = _distance_within(sig[s : s + 256], sig[s:], radius)
-            off = i < j
-            a.append(s + i[off])
-            b.append(s + j[off])
-    root = local_roots(len(ids), np.concatenate(a) if a else np.zeros(0, int), np.concatenate(b) if b else np.zeros(0, int))
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[moved], ids[root[moved]]
+            a, b = (s + i)[i < j], (s + j)[i < j]
+        else:
+            i, j = _distance_within(sig[left[s : s + 256]], sig[right], radius)
+            a, b = left[s + i], right[j]
+        if not len(a):
+            continue
+        if trie:
+            rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            fresh = [r for r in rows.tolist() if r not in known]
+            if fresh:
+                more = names(sig[fresh], trie)
+                nodes = np.vstack([nodes, more]) if known else more  # noqa: F821
+                known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            at = np.array([known[r] for r in rows.tolist()])[at]
+            x, y = at[: len(a)], at[len(a) :]
+            new = np.concatenate([~(nodes[x[k : k + 65_536]] == nodes[y[k : k + 65_536]]).any(1) for k in range(0, len(x), 65_536)])
+            links += np.bincount(a[new], minlength=len(ids)) + np.bincount(b[new], minlength=len(ids))
+        else:
+            links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        x, y = label[a], label[b]
+        if (x != y).any():
+            label = local_roots(len(ids), x[x != y], y[x != y])[label]
+    moved, linked = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(links)
+    return np.concatenate([ids[moved], ids[linked]]), np.concatenate([ids[label[moved]], ids[linked]]), np.concatenate([np.zeros(len(moved), np.int64), links[linked]])
 
 
 def trie_keys(cols: list[np.ndarray], pick: np.ndarray) -> np.ndarray:
@@ -135,77 +165,140 @@ def trie_keys(cols: list[np.ndarray], pick: np.ndarray) -> np.ndarray:
     return key
 
 
-def cut_depths(counts: np.ndarray, leaf: int) -> np.ndarray:
-    """Per key of the deepest level (counts: 2**depth signatures' numbers) the least depth at which its node holds at most `leaf` signatures, else the deepest."""
+def cut_depths(counts: np.ndarray, leaf: int, usual: int | None = None, block: int | None = None) -> np.ndarray:
+    """Where each key's path is cut. counts: the numbers of signatures of the 2**depth nodes of the deepest level.
+
+    The least depth at which its node holds at most `leaf` signatures (`block` from depth `usual` on), else the deepest.
+    """
     deepest = len(counts).bit_length() - 1
+    usual = deepest if usual is None else usual
     depth, c = np.full(len(counts), deepest, np.int64), counts
     for d in range(deepest - 1, -1, -1):
         c = c.reshape(-1, 2).sum(1)
-        depth[np.repeat(c <= leaf, 1 << (deepest - d))] = d
+        depth[np.repeat(c <= (leaf if d < usual else block), 1 << (deepest - d))] = d
     return depth
 
 
-def near_edges(sigs: DataFrame, n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, leaf: int = LEAF, max_tries: int = MAX_TRIES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(a, b): edges whose connected components are those of the near-duplicate pairs the forest finds among n distinct signatures.
+def _columns(b: pa.RecordBatch, first: int) -> list[np.ndarray]:
+    return [b.column(first + w).to_numpy(zero_copy_only=False).view(tv.U64) for w in range(WORDS64)]
 
-    The tries' node sizes go to the driver and their cuts to the tasks: tries * 2**depth numbers,
-    at most some 12 million however many rows there are, as the recall bounds the depth.
-    """
-    depth, tries = plan(n, radius, recall, leaf, max_tries)
-    rng = np.random.default_rng(seed)
-    picks = [rng.permutation(BITS)[:depth] for _ in range(tries)]
 
-    def columns(b):
-        return [b.column(1 + w).to_numpy(zero_copy_only=False).view(tv.U64) for w in range(WORDS64)]
+class Forest:
+    """Where each trie is cut: picked bits per trie, cut depths and numbers of blocks per key of the deepest level."""
 
-    def count(batches):
-        total = np.zeros(tries << depth, np.int64)
+    def __init__(self, picks: list[np.ndarray], depth: int, cuts: np.ndarray, blocks: np.ndarray | None, hits: np.ndarray, recall: float):
+        self.picks, self.depth, self.cuts, self.blocks, self.hits, self.recall = picks, depth, cuts, blocks, hits, recall
+
+    def names(self, sig: np.ndarray, tries: int) -> np.ndarray:
+        """rows x tries: the node of each signature in each of the first tries."""
+        out = np.empty((len(sig), tries), np.uint32)
+        cols = [np.ascontiguousarray(sig[:, w]) for w in range(WORDS64)]
+        for t in range(tries):
+            key = trie_keys(cols, self.picks[t])
+            d = self.cuts[t][key].astype(np.int64)
+            out[:, t] = (key >> (self.depth - d)) << 5 | d
+        return out
+
+
+def _count(sigs: DataFrame, picks: list[np.ndarray], depth: int, dense: np.ndarray | None = None) -> np.ndarray:
+    """tries x 2**depth: how many signatures each node of the level `depth` has. dense: only of what lies in one of these nodes (tries x 2**(their depth)).
+
+    Each task sends one number for each node it met, tries * 2**depth at most: 6 million at the greatest depth, however many rows there are.
+    """
+    shared = sigs.sparkSession.sparkContext.broadcast(dense)
+
+    def run(batches):
+        total, few = np.zeros((len(picks), 1 << depth), np.int64), shared.value
         for b in batches:
-            cols = columns(b)
+            cols = _columns(b, 1)
+            keys = None
+            if few is not None:
+                up = depth - (few.shape[1].bit_length() - 1)
+                on = np.zeros(b.num_rows, bool)
+                for t in range(len(few)):
+                    on |= few[t][trie_keys(cols, picks[t][:depth]) >> up]
+                cols = [c[on] for c in cols]
             for t, pick in enumerate(picks):
-                total[t << depth : (t + 1) << depth] += np.bincount(trie_keys(cols, pick), minlength=1 << depth)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["node", "n"])
+                total[t] += np.bincount(trie_keys(cols, pick[:depth]), minlength=1 << depth)
+        for t in range(len(picks)):
+            at = np.flatnonzero(total[t])
+            yield pa.RecordBatch.from_arrays([pa.array(at + (t << depth)), pa.array(total[t][at])], ["node", "n"])
 
-    got = sigs.select("id", *_SIG).mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(tries << depth, np.int64)
+    got = sigs.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(picks) << depth, np.int64)
     counts[got["node"].to_numpy()] = got["n"].to_numpy()
-    counts = counts.reshape(tries, -1)
-    cuts = np.stack([cut_depths(c, leaf) for c in counts]).astype(np.uint8)
-    blocks = np.where((cuts == depth) & (counts > block), -(-counts // block), 1).astype(np.int32)
-    shared = sigs.sparkSession.sparkContext.broadcast((cuts, blocks))
+    return counts.reshape(len(picks), -1)
+
+
+def grow(sigs: DataFrame, n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, leaf: int = LEAF, max_tries: int = MAX_TRIES, block: int = BLOCK, seed: int = SEED) -> Forest:
+    """The forest over n distinct signatures (node, s0..s3): cut by the counts of all of them, level by level where it is dense."""
+    depth, most = plan(n, radius, recall, leaf, max_tries)
+    rng = np.random.default_rng(seed)
+    bits = [rng.permutation(BITS) for _ in range(max_tries)]
+
+    def picks(d: int) -> list[np.ndarray]:
+        return [p[:d] for p in bits[: tries_for(d, radius, recall)]]
+
+    counts = _count(sigs, picks(depth), depth)
+    cuts, usual, dense = np.stack([cut_depths(c, leaf) for c in counts]), depth, counts > block
+    while dense.any() and depth < most and counts.max() > block:
+        depth = min(most, depth + math.ceil(math.log2(counts.max() / block)) + (depth == usual))
+        counts = _count(sigs, picks(depth), depth, dense)
+    if depth > usual:
+        deep = np.stack([cut_depths(c, leaf, usual, block) for c in counts])
+        wide = 1 << (depth - usual)
+        deep[: len(cuts)] = np.where(np.repeat(dense, wide, 1), deep[: len(cuts)], np.repeat(cuts, wide, 1))
+        cuts = deep
+    large = (cuts == depth) & (counts > block)
+    if depth > usual:
+        large[: len(dense)] &= np.repeat(dense, wide, 1)
+    blocks = np.where(large, -(-counts // block), 1).astype(np.int32) if large.any() else None
+    return Forest(picks(depth), depth, cuts.astype(np.uint8), blocks, hit_rates(depth, radius), recall)
+
+
+def near_edges(sigs: DataFrame, n: int, radius: int = RADIUS, block: int = BLOCK, **options) -> DataFrame:
+    """(a, b, n) among n distinct signatures (node, s0..s3): edges a <> b whose connected components are those of the near-duplicate pairs the forest finds, and for a = b the number of pairs that `a` is in.
+
+    A pair is counted in the first trie that has it, so the counts of one node add up. The tries' node sizes go to the driver and their cuts to the tasks.
+    """
+    shared = sigs.sparkSession.sparkContext.broadcast(grow(sigs, n, radius, block=block, **options))
 
     def fan(batches):
-        cuts, blocks = shared.value
+        forest = shared.value
         names = ["node", "part", "side", "id", *_SIG]
         for b in batches:
-            cols, ids = columns(b), b.column(0).to_numpy()
-            spread = tv.mix(ids.view(tv.U64))
-            for t, pick in enumerate(picks):
-                key = trie_keys(cols, pick)
-                d, many = cuts[t][key].astype(np.int64), blocks[t][key]
-                name = ((key >> (depth - d)).astype(tv.U64) << tv.U64(16)) | (d << 10 | t).astype(tv.U64)
+            every, miss = _columns(b, 1), np.ones(b.num_rows)
+            for t, pick in enumerate(forest.picks):
+                on = np.flatnonzero(1 - miss < forest.recall)
+                if not len(on):
+                    break
+                mine = pa.RecordBatch.from_arrays([c.take(pa.array(on)) for c in b.columns], ["id", *_SIG]) if len(on) < b.num_rows else b
+                key = trie_keys([c[on] for c in every] if len(on) < b.num_rows else every, pick)
+                d = forest.cuts[t][key].astype(np.int64)
+                miss[on] *= 1 - forest.hits[d]
+                name = ((key >> (forest.depth - d)).astype(tv.U64) << tv.U64(16)) | (d << 10 | t).astype(tv.U64)
                 node = pa.array(tv.mix(name).view(np.int64))
-                zero = pa.array(np.zeros(len(ids), np.int32))
+                many = forest.blocks[t][key] if forest.blocks is not None else np.ones(len(on), np.int32)
                 one = many == 1
                 if one.all():
-                    yield pa.RecordBatch.from_arrays([node, zero, zero, *b.columns], names)
+                    yield pa.RecordBatch.from_arrays([node, pa.array(np.zeros(len(on), np.int32)), pa.array(np.full(len(on), t << 2, np.int32)), *mine.columns], names)
                     continue
+                spread = tv.mix(mine.column(0).to_numpy().view(tv.U64))
                 rows = np.flatnonzero(one)
                 part, side = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
                 for m in np.unique(many[~one]):  # each row meets every block of its node once
-                    mine = np.flatnonzero(many == m)
-                    own = (spread[mine] % tv.U64(m)).astype(np.int64)
-                    other = np.tile(np.arange(m), len(mine))
+                    at = np.flatnonzero(many == m)
+                    own = (spread[at] % tv.U64(m)).astype(np.int64)
+                    other = np.tile(np.arange(m), len(at))
                     own = np.repeat(own, m)
-                    rows = np.concatenate([rows, np.repeat(mine, m)])
+                    rows = np.concatenate([rows, np.repeat(at, m)])
                     part = np.concatenate([part, np.minimum(own, other) * m + np.maximum(own, other)])
                     side = np.concatenate([side, np.where(own == other, 0, np.where(own < other, 1, 2))])
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([node.take(at), pa.array(part.astype(np.int32)), pa.array(side.astype(np.int32)), *(c.take(at) for c in b.columns)], names)
+                yield pa.RecordBatch.from_arrays([node.take(at), pa.array(part.astype(np.int32)), pa.array((t << 2 | side).astype(np.int32)), *(c.take(at) for c in mine.columns)], names)
 
     sig_cols = ", ".join(f"{s} long" for s in _SIG)
-    rows = sigs.select("id", *_SIG).mapInArrow(fan, f"node long, part int, side int, id long, {sig_cols}")
+    rows = sigs.select("node", *_SIG).mapInArrow(fan, f"node long, part int, side int, id long, {sig_cols}")
 
     def verify(batches):
         held: list[pa.RecordBatch] = []
@@ -216,16 +309,16 @@ def near_edges(sigs: DataFrame, n: int, radius: int = RADIUS, recall: float = TA
             node, part, side = t["node"].to_numpy(), t["part"].to_numpy(), t["side"].to_numpy()
             new = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])]))
             ends = np.append(new[1:], len(ids))
-            found = [_verify(ids[s:e], sig[s:e], side[s:e], radius) for s, e in zip(new, ends) if e - s > 1]
-            a = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
-            b = np.concatenate([y for _, y in found] or [np.zeros(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found = [_verify(ids[s:e], sig[s:e], side[s:e] & 3, radius, int(side[s]) >> 2, shared.value.names) for s, e in zip(new, ends) if e - s > 1]
+            cols = [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             node, part = b.column("node").to_numpy(), b.column("part").to_numpy()
-            last = int(np.flatnonzero((node != node[-1]) | (part != part[-1]))[-1]) + 1 if ((node != node[-1]) | (part != part[-1])).any() else 0
+            other = np.flatnonzero((node != node[-1]) | (part != part[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 held.append(b.slice(0, last))
                 yield emit(pa.Table.from_batches(held))
@@ -237,45 +330,59 @@ def near_edges(sigs: DataFrame, n: int, radius: int = RADIUS, recall: float = TA
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    return rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(verify, "a long, b long").distinct()
+    pairs = rows.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(verify, "a long, b long, n long")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_RECALL, shingle: int = SHINGLE, leaf: int = LEAF, max_tries: int = MAX_TRIES, block: int = BLOCK) -> DataFrame:
-    """(doc_id, kept_id): every document that repeats another, and the one of its group that stays (the least doc_id).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
+    """(doc_id, text_hash, kept_id, n_links): every document that repeats another, the one of its group that stays (the least doc_id), and to how many different other texts it is linked itself.
 
-    Groups are the connected components of near-duplicate pairs. A null doc_id, and a text that is
-    null or has no word, is in no group. Rows that share a doc_id are one document. An
-    empty table gives no rows; other columns are not looked at.
+    Groups are the connected components of near-duplicate pairs; the rows of one group share kept_id, and n_links counts signatures, so copies of one text are not
+    expanded into pairs. A null doc_id, and a text that is null or has no word, is in no group. A document is an id with a text:
+    rows that repeat both are one, rows that share an id only (text_hash tells them apart) are judged each by its own text; of such a pair in one group the lesser text hash stays.
+    Ids are compared in their own type. Texts of any length count whole. An empty table gives no rows; other columns are not looked at.
     """
     sigs = cut(signatures(docs, shingle), "sigs")
-    same = cut(sigs.groupBy(*_SIG).agg(F.min("id").alias("id")), "distinct")
-    copies = sigs.join(same.withColumnRenamed("id", "rep"), _SIG).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    edges = near_edges(same, same.count(), radius, recall, leaf, max_tries, block).unionByName(copies)
-    found = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
-    drop_cut(same)
-    drop_cut(sigs)
-    return found
+    own = F.struct("id", "text_hash")
+    same = sigs.groupBy(*_SIG).agg(F.min(own).alias("first"), F.max(own).alias("last")).select(F.monotonically_increasing_id().alias("node"), *_SIG, "first", (F.col("first") != F.col("last")).alias("more"))
+    same = cut(same, "distinct")
+    found = cut(near_edges(same.select("node", *_SIG), same.count(), **options), "found")
+    stars = components(found.where("a <> b"), "a", "b")
+    groups = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    kept = same.select("node", "first").join(groups, "node").groupBy("root").agg(F.min("first").alias("kept"))
+    links = found.where("a = b").select(F.col("a").alias("node"), F.col("n").alias("n_links"))
+    groups = groups.join(kept, "root").join(links, "node").select("node", "kept", "n_links")
+    known = same.join(groups, "node", "left").where("kept IS NOT NULL OR more").select(*_SIG, F.coalesce("kept", "first").alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = sigs.join(known, _SIG).where(own != F.col("kept")).select(F.col("id").alias("doc_id"), "text_hash", F.col("kept.id").alias("kept_id"), "n_links")
+    out = cut(out.distinct(), "near")
+    for t in (sigs, same, found, stars):
+        drop_cut(t)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that near_duplicates() finds; all columns stay as they are.
+    """docs without the documents that near_duplicates() finds; all columns stay as they are, whatever their names.
 
-    Rows with a null doc_id, and texts without words, stay. Of rows that share a doc_id one
-    stays, that of the least text hash.
+    Rows with a null doc_id, and texts without words, stay. Of rows that repeat both doc_id and text one
+    stays, that whose columns have the least hash (rows alike in all columns are alike). Empty in, empty out.
     """
-    found = near_duplicates(docs, **options).select(F.col("doc_id").alias("_vx_id"))
-    # The ids are hashed in partitions at every size, so that no plan depends on how many they are and texts are not sorted.
-    left = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_vx_id"], "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_vx_id"))
+    own, text = free(docs, "_vx_id", "_vx_text")
+    found = near_duplicates(docs, **options).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text))
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    # At every size by hash: its side has 16 bytes for a document that goes, so a partition's part is small against the partition's texts, which needn't be sorted.
+    left = docs.join(found.hint("shuffle_hash"), (docs["doc_id"] == found[own]) & (hashed == found[text]), "left_anti")
+    twice = docs.select(F.col("doc_id").alias(own), hashed.alias(text)).where(F.col(own).isNotNull()).groupBy(own, text).count().where("count > 1").drop("count")
     twice = cut(twice, "twice")
     if twice.isEmpty():
+        drop_cut(twice)
         return left
-    once = left.join(twice, left["doc_id"] == twice["_vx_id"], "left_anti")
-    again = left.join(twice, left["doc_id"] == twice["_vx_id"], "left_semi")
-    again = again.withColumn("_vx_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_vx_n = 1").drop("_vx_n")
+    on = (left["doc_id"] == twice[own]) & (hashed == twice[text])
+    once, again = left.join(twice, on, "left_anti"), left.join(twice, on, "left_semi")
+    plain = [c for c, f in zip(columns(docs), docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+    again = again.groupBy(F.col("doc_id").alias(own), hashed.alias(text)).agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*plain)).alias("row")).select("row.*")
     return once.unionByName(again)
 
 
 def op4_simhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate documents over the whole documents table: (doc_id, kept_id)."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """Near-duplicate documents over the whole documents table: (doc_id, kept_id, n_links), with the class's least id and the number of different texts it is linked to."""
+    return near_duplicates(table(spark, sf_dir, "documents")).where("doc_id <> kept_id").select("doc_id", "kept_id", "n_links").distinct()
