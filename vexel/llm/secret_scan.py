@@ -1,8 +1,8 @@
 """Secret scan by token efficiency.
 
 Random strings take many tokens of a vocabulary learned on ordinary text: few characters per
-token. Candidates are unbroken runs of key characters; known shapes of digests and
-identifiers are taken out first, except where the text itself calls the string a
+token. Candidates are unbroken runs of key characters (letters, digits and + / _ -), and of these and the punctuation
+that passwords have; digests and known identifiers are taken out, except where the text itself calls the string a
 credential; what then has fewer than `max_ratio` characters per token is reported.
 """
 
@@ -28,19 +28,31 @@ MAX_RATIO = 2.5
 NAME_RATIO = 1.9
 
 _KEY = np.zeros(256, bool)
-for _c in b"+/_-":
+for _c in b"+/_-!$%^&*.=~@#":
     _KEY[_c] = True
 _KEY[48:58] = _KEY[65:91] = _KEY[97:123] = True
 
-_NAMED = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)s?[\"']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}[\"']?$", re.I)
+_WORDS = rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)s?"
+_NAMED = re.compile(_WORDS + rb"[\"']?\s{0,3}(?:[:=]|=>|\s)\s{0,3}[\"']?$", re.I)
+#: name=value within a run; further name=value pairs after an ampersand are not the value's.
+_ASSIGNED = re.compile(rb"(?:.*[^A-Za-z])?" + _WORDS + rb"=+(.+?)(?:&[A-Za-z_]+=.*)?", re.I | re.S)
+_PLAIN = re.compile(rb"[A-Za-z0-9+/_-]+")
 _DIGEST = re.compile(rb"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 _KNOWN = re.compile(
     rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
-    rb"|[0-9+/_-]+",  # numbers, dates
+    rb"|[0-9+/_.-]+"  # numbers, dates, addresses of four numbers
+)
+#: Left out unless the text calls them a credential.
+_ADDRESS = re.compile(
+    rb"[^@]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"  # mail addresses
+    rb"|/{0,2}(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?:/.*)?",  # hosts and what follows them in a URL
+    re.S,
 )
 _NAME = re.compile(
     rb"[a-z+/_-]+|[A-Z+/_-]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*"  # words and names without a digit
     rb"|(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}"  # paths and snake_case names
+    rb"|.*[!$%^&*.=~@#].*",  # code, hosts, formulas
+    re.S,
 )
 
 _encodings: dict[str, object] = {}
@@ -72,6 +84,27 @@ def candidates(buf: np.ndarray, offsets: np.ndarray, min_chars: int = MIN_CHARS)
     return np.searchsorted(offsets, start, "right") - 1, start, end
 
 
+def strings_of(run: bytes, before: bytes) -> list[tuple[int, bytes, bool]]:
+    """(offset, string, named) of what is to be judged in a run of key characters that follows `before`; the first one that is reported settles what it overlaps.
+
+    A named string is the whole value, with whatever punctuation it has (a stop at its end is the text's, unless it is quoted); else the
+    stretches of plain key characters come first, then the run as a whole, between its outermost letters and digits.
+    """
+    out = []
+    quoted = before[-1:] in (b'"', b"'")
+    skip = 0 if quoted else len(run) - len(run.lstrip(b"="))
+    if m := _ASSIGNED.fullmatch(run):
+        out.append((m.start(1), m.group(1) if quoted else m.group(1).rstrip(b".!"), True))
+    elif _NAMED.search(before + run[:skip]):
+        value = run[skip:]
+        out.append((skip, value if quoted else value.rstrip(b".!"), True))
+    out += [(m.start(), m.group(), False) for m in _PLAIN.finditer(run)]
+    core = run.strip(b"+/_-!$%^&*.=~@#")
+    if core and not _PLAIN.fullmatch(core):
+        out.append((run.index(core), core, False))
+    return out
+
+
 def scan_texts(texts: pa.Array, vocabulary: str = VOCABULARY, min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO) -> list[tuple]:
     """(row, start, n_chars, n_tokens, ratio, named, masked, sha256) of each finding; start counts characters."""
     buf, off = tv.column_bytes(texts)
@@ -79,14 +112,18 @@ def scan_texts(texts: pa.Array, vocabulary: str = VOCABULARY, min_chars: int = M
     for i, j in tv.chunks(off):
         b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         for r, s, e in zip(*(x.tolist() for x in candidates(b, o, min_chars))):
-            word = b[s:e].tobytes()
-            named = _NAMED.search(b[max(o[r], s - 48) : s].tobytes()) is not None
-            if _KNOWN.fullmatch(word) and not (named and _DIGEST.fullmatch(word)) or not named and _DIGEST.fullmatch(word):
-                continue
-            n = len(encoding(vocabulary).encode_ordinary(word.decode()))
-            if (e - s) / n < (min(NAME_RATIO, max_ratio) if not named and _NAME.fullmatch(word) else max_ratio):
-                start = int(((b[o[r] : s] & 0xC0) != 0x80).sum())
-                found.append((i + r, start, e - s, n, (e - s) / n, named, word[:4].decode() + "*" * (e - s - 4), hashlib.sha256(word).hexdigest()))
+            done: list[tuple[int, int]] = []
+            for at, word, named in strings_of(b[s:e].tobytes(), b[max(o[r], s - 48) : s].tobytes()):
+                if len(word) < min_chars or any(x < at + len(word) and at < y for x, y in done):
+                    continue
+                digest = _DIGEST.fullmatch(word) is not None
+                if digest and not named or not digest and (_KNOWN.fullmatch(word) or not named and _ADDRESS.fullmatch(word)):
+                    continue
+                n = len(encoding(vocabulary).encode_ordinary(word.decode()))
+                if len(word) / n < (min(NAME_RATIO, max_ratio) if not named and _NAME.fullmatch(word) else max_ratio):
+                    start = int(((b[o[r] : s + at] & 0xC0) != 0x80).sum())
+                    found.append((i + r, start, len(word), n, len(word) / n, named, word[:4].decode() + "*" * (len(word) - 4), hashlib.sha256(word).hexdigest()))
+                    done.append((at, at + len(word)))
     return found
 
 
@@ -94,7 +131,8 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, min_chars: int = MIN_CHA
     """(doc_id, start, n_chars, n_tokens, chars_per_token, named, masked, sha256): every random string of every row.
 
     `named` says that the text calls it a credential (token = "..."); only then is a string of a digest's shape reported. The string
-    itself is masked. A null or empty text has none; a null doc_id is reported as null; repeated rows are reported again. Other columns are not looked at.
+    itself is masked. A null or empty text has none; a null doc_id is reported as null; repeated rows are reported again. A text of any length is scanned
+    whole, and a run of any length is one string. Strings of a text that tie in all figures differ in `start`. An empty table gives no rows. Other columns are not looked at.
     """
     d = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
