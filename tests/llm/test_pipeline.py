@@ -2,6 +2,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_best_fit import check
@@ -32,10 +33,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         if k == 0:
             model = sq.fit(docs, table(spark, SF, "labels"))
             p = sq.score(pa.array([t for *_, t in before]), model)
-            assert set(after) == {i for (i, _, _), x in zip(before, p) if x >= sq.THRESHOLD}
-            bad = {r.doc_id for r in table(spark, SF, "labels").where("quality = 0").collect()}
-            good = {r.doc_id for r in table(spark, SF, "labels").where("quality = 1").collect()}
-            assert len(bad & set(after)) <= 0.05 * len(bad) and len(good & set(after)) >= 0.99 * len(good)
+            assert set(after) == {i for (i, _, _), x in zip(before, p[:, sq.GOOD]) if x >= sq.THRESHOLD}
+            own = table(spark, SF, "labels").collect()
+            bad = {r.doc_id for r in own if not r.quality or r.toxic}
+            good = {r.doc_id for r in own if r.quality and not r.toxic}
+            assert len(bad & set(after)) <= 0.05 * len(bad) and len(good & set(after)) >= 0.99 * len(good) and any(r.toxic and r.quality for r in own)
         elif k == 1:
             want = {i: t for i, t, n in brute(before, line_spread.MIN_SITES) if not n or t.strip()}
             assert {i: r.text for i, r in after.items()} == want
@@ -68,7 +70,7 @@ def odd(spark, tmp_path_factory):
 
 
 def test_odd_rows_and_empty_tables(spark, odd):
-    docs = table(spark, odd, "documents").withColumnRenamed("_vx", "tokens")
+    docs = table(spark, odd, "documents").withColumnRenamed("_vx", "tokens").withColumns({c: F.lit(1) for c in ("_vx_good", "_vx_removed", "_vx_drop", "_vx_id", "_vx_source", "_vx_row", "a.b", "label", "shard")})
     for name, stage in cp.STAGES:
         out = stage(spark, docs, odd)
         got = out.count()

@@ -1,11 +1,11 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the average of the learned vectors of its hashed words and byte n-grams and of
-one that stands for all pairs of a word with itself (a word said again at once); a
-softmax over it gives the class. Vectors and output weights are trained by stochastic
+A document is the average of the learned vectors of its hashed words, pairs of neighbouring words and byte n-grams without
+white space inside; a softmax over it gives the class: poor, good or toxic. `prior` more occurrences of one feature that all
+texts have draw short texts towards what is usual. A pair's hash is that of the XOR of its words, so a word said twice is the same pair whatever the word. Vectors and output weights are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents (`train_rows`, the
 rows with the least hash of doc_id). Both layers are linear, so for scoring each bucket's
-vector is folded with the output weights into one number, and a document is scored by
+vector is folded with the output weights into one number a class, and a document is scored by
 table look-ups and sums over its bytes.
 """
 
@@ -15,24 +15,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import plus, table
+from .common import free, map_arrow, table
 
 BUCKET_BITS = 17
 NGRAMS = (3, 4)
-DIM = 12
-EPOCHS = 8
+DIM = 8
+EPOCHS = 10
+#: Steps of the training, at least: few texts are gone through more often.
+MIN_STEPS = 4000
 RATE = 0.6
+PRIOR = 6
 #: Labelled documents the model is fitted on, at most.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 6000
 SEED = 7
-THRESHOLD = 0.5
-
-#: The bucket of all word pairs of twice the same word.
-REPEAT = 1 << BUCKET_BITS
+THRESHOLD = 0.6
+POOR, GOOD, TOXIC = range(3)
 
 _MUL = np.uint32(2654435761)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _ngram_buckets(buf: np.ndarray, n: int) -> np.ndarray:
@@ -47,29 +51,44 @@ def _ngram_buckets(buf: np.ndarray, n: int) -> np.ndarray:
     return x >> np.uint32(32 - BUCKET_BITS)
 
 
+def _spaced(buf: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n bytes from each position on have white space between the first and the last."""
+    space = _SPACE[buf]
+    out = np.zeros(len(buf), bool)
+    for t in range(1, n - 1):
+        out[:-t] |= space[t:]
+    return out
+
+
 def _word_buckets(h: np.ndarray) -> np.ndarray:
     return (h >> tv.U64(64 - BUCKET_BITS)).astype(np.uint32)
 
 
 def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, shares) of each text: which features it has, and each one's part of all its features."""
+    """(buckets, counts) of each text's features, the prior aside."""
     buf, off = tv.column_bytes(texts)
     out = []
     for r in range(len(off) - 1):
         b = buf[off[r] : off[r + 1]]
         h, _, _ = tv.words(b, np.array([0, len(b)]))
-        parts = [_word_buckets(h), np.full(int((h[1:] == h[:-1]).sum()), REPEAT, np.uint32), *(_ngram_buckets(b, n)[: max(0, len(b) - n + 1)] for n in NGRAMS)]
-        f, c = np.unique(np.concatenate(parts), return_counts=True)
-        out.append((f, (c / max(1, c.sum())).astype(np.float32)))
+        parts = [_word_buckets(h), _word_buckets(tv.mix(h[:-1] ^ h[1:]))]
+        for n in NGRAMS:
+            m = max(0, len(b) - n + 1)
+            parts.append(_ngram_buckets(b, n)[:m][~_spaced(b, n)[:m]])
+        out.append(np.unique(np.concatenate(parts), return_counts=True))
     return out
 
 
-def train(texts: pa.Array, labels: np.ndarray, classes: int = 2, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(embeddings, output weights). A step on the embeddings is scaled by the text's sum of squared shares, so that long texts move as far as short ones."""
+def train(texts: pa.Array, labels: np.ndarray, classes: int = 3, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, prior: int = PRIOR, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings, the last one being the prior's; output weights). A step on the embeddings is scaled by the text's sum of squared shares, so that long texts move as far as short ones."""
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-1 / dim, 1 / dim, (REPEAT + 1, dim)).astype(np.float32)
+    emb = rng.uniform(-1 / dim, 1 / dim, ((1 << BUCKET_BITS) + 1, dim)).astype(np.float32)
     out = np.zeros((dim, classes), np.float32)
-    data = [(f, s, 1 / float(s @ s)) if len(f) else None for f, s in bags(texts)]
+    data = []
+    for f, c in bags(texts):
+        s = (c / (c.sum() + prior)).astype(np.float32)
+        data.append((f, s, np.float32(1 - s.sum()), 1 / float(s @ s)) if len(f) else None)
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(data))))
     steps, total = 0, max(1, epochs * len(data))
     for _ in range(epochs):
         for i in rng.permutation(len(data)):
@@ -77,8 +96,8 @@ def train(texts: pa.Array, labels: np.ndarray, classes: int = 2, dim: int = DIM,
             steps += 1
             if data[i] is None:
                 continue
-            f, s, scale = data[i]
-            hidden = s @ emb[f]
+            f, s, rest, scale = data[i]
+            hidden = s @ emb[f] + rest * emb[-1]
             z = hidden @ out
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -86,81 +105,88 @@ def train(texts: pa.Array, labels: np.ndarray, classes: int = 2, dim: int = DIM,
             back = out @ p
             out -= lr * np.outer(hidden, p)
             emb[f] -= (lr * scale) * s[:, None] * back
+            emb[-1] -= lr * back
     return emb, out
 
 
 def fold(emb: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Per bucket, what its presence adds to the log-odds of class 1."""
-    return (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)
+    """Per bucket, what its presence adds to each class's logit, less what it adds to the class of good documents."""
+    z = emb @ out
+    return np.ascontiguousarray((z - z[:, GOOD : GOOD + 1]).astype(np.float32).T)
 
 
-def score(texts: pa.Array, table_: np.ndarray) -> np.ndarray:
-    """Probability of class 1 of each text; NaN for a text without features (shorter than a word)."""
+def score(texts: pa.Array, weights: np.ndarray, prior: int = PRIOR) -> np.ndarray:
+    """texts x classes: probabilities; NaN for a text without features (one without a word, of fewer than three bytes)."""
     buf, off = tv.column_bytes(texts)
-    got = [np.zeros(0)]
+    got = [np.zeros((0, len(weights)))]
     for i, j in tv.chunks(off):
         b, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         h, _, first = tv.words(b, o)
-        acc = np.concatenate([[0], np.cumsum(table_[_word_buckets(h)], dtype=np.float64)])
-        total, count = acc[first[1:]] - acc[first[:-1]], np.diff(first)
-        again = np.zeros(len(h) + 1, np.int64)
-        again[2:] = np.cumsum(h[1:] == h[:-1])
-        again = np.where(count > 0, again[first[1:]] - again[np.minimum(first[:-1] + 1, len(h))], 0)
-        total += again * float(table_[REPEAT])
-        count = count + again
+        count = np.diff(first) + np.maximum(0, np.diff(first) - 1)
+        grams = []
         for n in NGRAMS:
-            acc = np.concatenate([[0], np.cumsum(table_[_ngram_buckets(b, n)], dtype=np.float64)])
             end = np.maximum(o[1:] - n + 1, o[:-1])
-            total += acc[end] - acc[o[:-1]]
-            count = count + (end - o[:-1])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            got.append(1 / (1 + np.exp(-total / count)))
+            good = ~_spaced(b, n)
+            acc = np.concatenate([[0], np.cumsum(good)])
+            count = count + (acc[end] - acc[o[:-1]])
+            grams.append((_ngram_buckets(b, n), good, end))
+        words, pairs = _word_buckets(h), _word_buckets(tv.mix(h[:-1] ^ h[1:]))
+        last = np.maximum(first[1:] - 1, first[:-1])  # a row's pairs begin at its words but the last
+        z = np.zeros((j - i, len(weights)))
+        for k, w in enumerate(weights):
+            if k == GOOD:
+                continue
+            acc = np.concatenate([[0], np.cumsum(w[words], dtype=np.float64)])
+            z[:, k] = acc[first[1:]] - acc[first[:-1]] + prior * float(w[-1])
+            acc = np.concatenate([[0], np.cumsum(w[pairs], dtype=np.float64)])
+            at = np.minimum(first[:-1], len(pairs))
+            z[:, k] += acc[np.minimum(last, len(pairs))] - acc[at]
+            for g, good, end in grams:
+                acc = np.concatenate([[0], np.cumsum(np.where(good, w[g], 0), dtype=np.float64)])
+                z[:, k] += acc[end] - acc[o[:-1]]
+        z /= (count + prior)[:, None]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[count == 0] = np.nan
+        got.append(p)
     return np.concatenate(got)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
-    """The folded table, from at most train_rows labelled documents; None where there are none of one of the classes.
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
+    """The folded table, from at most train_rows labelled documents (doc_id, quality and, if there is one, toxic); None where they are all of one class.
 
-    A doc_id labelled more than once has its most frequent label (1 on a tie). Null labels and ids are passed over.
+    A toxic document is toxic whatever its quality. A doc_id labelled more than once has its most frequent label (1 on a tie). Rows without an id or any label are passed over, as are documents without a text;
+    of several texts of one id the least is taken. Labelled texts count whole, however long.
     """
-    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_vx_label"))
-    own = own.withColumnRenamed("doc_id", "_vx_id").withColumn("_vx_order", F.xxhash64("_vx_id")).orderBy("_vx_order", "_vx_id").limit(train_rows)
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("_vx_id"))
-    got = rows.groupBy("_vx_order", "_vx_id", "_vx_label").agg(F.min("text").alias("text")).toArrow().sort_by([("_vx_order", "ascending"), ("_vx_id", "ascending")])
-    y = got["_vx_label"].to_numpy()
-    return fold(*train(got["text"], y)) if len(set(y.tolist())) == 2 else None
+    toxic = F.avg(F.col("toxic").cast("double")) >= 0.5 if "toxic" in labels.columns else F.lit(False)
+    own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.when(toxic, F.lit(TOXIC)).when(F.avg(F.col("quality").cast("double")) >= 0.5, F.lit(GOOD)).when(F.avg(F.col("quality").cast("double")).isNotNull(), F.lit(POOR)).alias("label"))
+    own = own.where("label IS NOT NULL").withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(train_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("id"))
+    got = rows.groupBy("place", "id", "label").agg(F.min("text").alias("text")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    y = got["label"].to_numpy()
+    return fold(*train(got["text"], y)) if len(set(y.tolist())) > 1 else None
 
 
-def with_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, label: str = "quality", name: str = "_vx_p") -> DataFrame:
-    """docs with `name`, the probability that the document's label is 1: by default, that it is of good quality.
+def with_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs and, last two, _vx_good and _vx_toxic (or longer free names): the probabilities that the document is good and that it is toxic.
 
-    Null for a null or empty text and where there are no labels of both classes to learn
-    from. Rows are scored one by one, so repeats and null ids change nothing; other columns pass through.
+    Null for a null or empty text, one without any feature, and where the labels are all of one class. Rows are scored one by one, so repeats and null ids change nothing; a text of
+    any length is scored whole. Other columns pass through, whatever their names. Empty in, empty out.
     """
-    return _with_model(docs, fit(docs, labels, label, train_rows), name)
-
-
-def _with_model(docs: DataFrame, folded: np.ndarray | None, name: str) -> DataFrame:
-    weights = docs.sparkSession.sparkContext.broadcast(folded)
-    at = docs.columns.index("text")
-    schema = plus(docs, name, "double")
+    weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
+    at, n = docs.columns.index("text"), len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in free(docs, "_vx_good", "_vx_toxic"))])
+    names = schema.names
 
     def run(batches):
         for b in batches:
-            p = np.full(b.num_rows, np.nan) if weights.value is None else score(b.column(at), weights.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, mask=np.isnan(p))], names=[*b.schema.names, name])
+            p = np.full((b.num_rows, 3), np.nan) if weights.value is None else score(b.column(at), weights.value)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(p[:, k], mask=np.isnan(p[:, k])) for k in (GOOD, TOXIC))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, p_good, p_toxic, keep) of every document; one that is not good or that is toxic is not kept, what can't be scored is."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    d = with_score(docs, labels)
-    if "toxic" in labels.columns:
-        toxic = fit(docs, labels, "toxic")
-        d = _with_model(d, toxic, "_vx_toxic")
-    else:
-        d = d.withColumn("_vx_toxic", F.lit(None).cast("double"))
-    keep = (F.coalesce("_vx_p", F.lit(1.0)) >= THRESHOLD) & (F.coalesce("_vx_toxic", F.lit(0.0)) < THRESHOLD)
-    return d.select("doc_id", F.col("_vx_p").alias("p_good"), F.col("_vx_toxic").alias("p_toxic"), keep.alias("keep"))
+    """(doc_id, p_good, p_toxic, keep) of every document; one that isn't good, as toxic ones aren't, is not kept, what can't be scored is."""
+    d = with_score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", F.col("_vx_good").alias("p_good"), F.col("_vx_toxic").alias("p_toxic"), F.coalesce(F.col("_vx_good") >= THRESHOLD, F.lit(True)).alias("keep"))
