@@ -14,8 +14,13 @@ from vexel.llm.subword_quality import THRESHOLD, with_score
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on `labels`, does not reject. What it can't score (null or empty text) stays."""
-    return with_score(docs, table(spark, sf_dir, "labels")).where((F.col("_vx_p") >= THRESHOLD) | F.col("_vx_p").isNull()).drop("_vx_p")
+    """Documents that the quality classifier, fitted on `labels`, does not reject as poor or toxic.
+
+    What it can't score (null or empty text) stays, repeated rows are judged alike, a text of any length is scored whole; an empty table stays empty.
+    """
+    d = with_score(docs, table(spark, sf_dir, "labels"))
+    good = F.col(d.columns[-2])
+    return d.where((good >= THRESHOLD) | good.isNull()).select(*columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +37,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the least doc_id, and all that repeat none."""
+    """One document of each group of near duplicates, the least doc_id, and all that repeat none.
+
+    Rows without an id or without words stay, of rows that repeat id and text one stays; an empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A balanced sample in which each source has its target weight."""
+    """A balanced sample in which each source has its target weight.
+
+    Rows of one id and source stay or go together, null ids and sources count as values, documents without words are drawn like others; an empty table stays empty.
+    """
     return keep_sample(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of each piece of each document: (bin_id, doc_id, source, piece, first_token, n_tokens)."""
+    """The bin of each piece of each document: (bin_id, doc_id, source, piece, first_token, n_tokens).
+
+    Every row is packed, repeated ones into different bins, a long one in pieces; a document without words has one row without a bin; an empty table gives no rows.
+    """
     return pack_documents(docs)
 
 
@@ -59,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
