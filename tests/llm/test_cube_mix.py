@@ -70,6 +70,15 @@ def test_nulls_repeats_empty_and_other_columns(spark):
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("p", F.lit("mine")).withColumn("n_tokens", F.lit(1.5))
     got = {(r.doc_id, r.source): r.n_tokens for r in cm.balanced_sample(d, budget=1.0).collect()}
     assert got == {(None, "a"): 5, (1, None): 2, (2, "b"): 0, (3, "b"): 0, (4, "b"): 4}
+    d = d.withColumns({"_vx_id": F.lit(1), "_vx_source": F.lit(1), "a.b": F.lit(2)})
     kept = cm.keep_sample(d, budget=1.0)
     assert kept.columns == d.columns and kept.count() == 7
     assert cm.keep_sample(d.limit(0)).count() == 0 and cm.balanced_sample(d.limit(0)).count() == 0
+
+
+def test_string_ids_and_a_very_long_text(spark):
+    rows = [(f"d{i}", f"s{i % 2}", "w " * (1 + i % 7)) for i in range(200)] + [("long", "s0", "word " * 400_000)]
+    d = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    got = cm.balanced_sample(d, budget=0.5, weights={"s0": 1, "s1": 1}).collect()
+    assert len({r.doc_id for r in got}) == len(got) > 50 and all(r.n_tokens == 400_000 for r in got if r.doc_id == "long")
+    assert sorted(r.doc_id for r in cm.keep_sample(d, budget=0.5).collect()) == sorted(r.doc_id for r in cm.keep_sample(d.repartition(7), budget=0.5).collect())

@@ -55,6 +55,15 @@ def test_query_nulls_and_empty(spark):
     got = [(r.doc_id, len(r.sketch)) for r in ss.sketches(d, fraction=0.5).collect()]
     assert got[0] == (None, 0) and got[1] == (1, 0) and got[2] == got[3]
     assert ss.sketches(d.limit(0)).count() == 0
+    long = " ".join(map(str, range(300_000)))
+    d = spark.createDataFrame([(1, long, 0), (2, None, 0), (2, None, 0)], "`a.b` long, text string, contains int")
+    items = spark.createDataFrame([(7, long[-200:]), (8, long[-200:]), (None, long), (9, "")], "`c.d` long, text string")
+    for most in (ss.INDEX_SHINGLES, 0):
+        got = ss.contained(d, items, "a.b", "c.d", most=most)
+        assert got.columns == ["a.b", "sketch", "contains"]
+        got = sorted(((r[0], len(r.sketch) > 100_000, [tuple(x) for x in r.contains or []]) for r in got.collect()))
+        assert [g[:2] for g in got] == [(1, True), (2, False), (2, False)] and [x[0] for x in got[0][2]] == [7, 8]
+        assert ss.contained(d.limit(0), items, "a.b", "c.d", most=most).count() == 0
 
 
 def test_query_finds_every_verbatim_item(spark):

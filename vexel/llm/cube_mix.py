@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import cut, plus, table
+from .common import cut, drop_cut, free, plus, table
 
 BUDGET = 0.7
 TEMPERATURE = 2.0
@@ -94,20 +95,19 @@ def landing(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.n
     return p
 
 
-def word_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` of docs and _vx_tokens, the number of words of the text (null: 0)."""
-    d = docs.select(*keep, F.col("text").cast("string").alias("_vx_text"))
-    schema = plus(d.drop("_vx_text"), "_vx_tokens", "long")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) of every row: the number of words of its text (null: 0)."""
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            buf, off = tv.column_bytes(b.column(len(keep)))
+            buf, off = tv.column_bytes(b.column(2))
             n = [np.zeros(0, np.int64)]
             for i, j in tv.chunks(off):
                 n.append(tv.word_counts(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(n))], names=[*b.schema.names[:-1], "_vx_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(np.concatenate(n))], names=["doc_id", "source", "n_tokens"])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, plus(d.drop("text"), "n_tokens", "long"))
 
 
 def balanced_sample(docs: DataFrame, budget: float = BUDGET, weights: Mapping | None = None, temperature: float = TEMPERATURE, seed: int = SEED, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -117,23 +117,24 @@ def balanced_sample(docs: DataFrame, budget: float = BUDGET, weights: Mapping |
     the landing of at most two documents. Rows of one doc_id and source are one document
     with the sum of their tokens. A null doc_id is one document of its source, a null source is a
     source. Documents without words are drawn like others (0 tokens) at their source's rate;
-    a source all of whose documents are so has rate 0. Same rows and seed, same sample. Empty in, empty out.
+    a source all of whose documents are so has rate 0. A text of any length counts whole. Documents that tie in tokens are told apart by their hashes. Same rows and seed, same sample. Empty in, empty out.
+    The driver gets one row a source.
     """
-    units = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "doc_id", "source")
-    units = cut(units.groupBy("doc_id", "source").agg(F.sum("_vx_tokens").alias("n_tokens")), "units")
-    per = units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    rate = rates({r.source: r.t for r in per}, budget, weights, temperature)
-    names = sorted(rate, key=lambda s: (s is None, s or ""))
+    words = word_counts(docs)
+    units = cut(words.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "units")
+    per = {r.source: r for r in units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    rate = rates({s: r.t for s, r in per.items()}, budget, weights, temperature)
     spark = docs.sparkSession
-    by = spark.createDataFrame([(s, rate[s], -(-r.n // chunk_rows)) for s in names for r in per if r.source == s], "src string, pi double, chunks long")
+    by = spark.createDataFrame([(s, rate[s], -(-per[s].n // chunk_rows)) for s in sorted(rate, key=lambda s: (s is None, s or ""))], "src string, pi double, chunks long")
     u = units.join(by, units["source"].eqNullSafe(by["src"])).drop("src")
     u = u.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "chunks")).drop("chunks").withColumn("p", F.col("pi"))
-    schema = "doc_id long, source string, n_tokens long, pi double, chunk long, p double"
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("source string, n_tokens long, pi double, chunk long, p double").fields])
 
     def fly(last: bool):
         def run(key, t):
-            ids = t["doc_id"].fill_null(-1).to_numpy()
             names = np.unique(t["source"].fill_null("").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+            whole = pa.types.is_integer(t["doc_id"].type)
+            ids = t["doc_id"].fill_null(-1).to_numpy().astype(np.int64) if whole else np.unique(t["doc_id"].cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1].astype(np.int64)
             t = t.take(pa.array(np.lexsort((names, ids, tv.mix(ids.view(tv.U64) ^ tv.U64(seed))))))
             rng = np.random.default_rng([seed, *str([k.as_py() for k in key]).encode()])
             n = t["n_tokens"].to_numpy()
@@ -145,6 +146,7 @@ def balanced_sample(docs: DataFrame, budget: float = BUDGET, weights: Mapping |
     # Chunks of a source, then what each left of it, then what each source left.
     first = cut(u.groupBy("source", "chunk").applyInArrow(fly(False), schema), "flight")
     half = (F.col("p") > 0) & (F.col("p") < 1)
+    drop_cut(units)
     second = cut(first.where(half).groupBy("source").applyInArrow(fly(False), schema), "flight")
     third = second.where(half).withColumn("chunk", F.lit(0).cast("long")).groupBy("chunk").applyInArrow(fly(True), schema)
     done = first.where("p = 1").unionByName(second.where("p = 1")).unionByName(third.where("p = 1"))
@@ -152,9 +154,11 @@ def balanced_sample(docs: DataFrame, budget: float = BUDGET, weights: Mapping |
 
 
 def keep_sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is in the sample; their columns as they are."""
-    s = balanced_sample(docs, **options).select(F.col("doc_id").alias("_vx_id"), F.col("source").alias("_vx_source"))
-    return docs.join(s.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(s["_vx_id"]) & docs["source"].eqNullSafe(s["_vx_source"]), "left_semi")
+    """The rows of docs whose document is in the sample; their columns as they are, whatever their names. As balanced_sample() for odd rows."""
+    own, source = free(docs, "_vx_id", "_vx_source")
+    s = balanced_sample(docs, **options).select(F.col("doc_id").alias(own), F.col("source").alias(source))
+    # By hash at every size: a partition's ids are small against its texts, which needn't be sorted.
+    return docs.join(s.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(s[own]) & docs["source"].cast("string").eqNullSafe(s[source]), "left_semi")
 
 
 def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

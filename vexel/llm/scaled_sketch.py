@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import cut, table
+from .common import cut, drop_cut, map_arrow, quoted, table
 
 SHINGLE = 5
 #: The part of the hash space that is kept (at most 1/2, so that hashes are positive as long integers).
@@ -44,15 +45,16 @@ def sketch_arrays(texts: pa.Array, shingle: int = SHINGLE, fraction: float = FRA
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """(key, sketch) of every row. A null or wordless text has an empty sketch; one shorter than a shingle is one shingle; equal rows have equal sketches."""
-    d = docs.select(key, F.col(text).cast("string").alias("_vx_text"))
+    """(key, sketch) of every row. A null or wordless text has an empty sketch; one shorter than a shingle is one shingle; equal rows have equal sketches; a text of any length counts whole. Empty in, empty out; other columns are not looked at."""
+    d = docs.select(F.col(quoted(key)), F.col(quoted(text)).cast("string"))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
             v, off = sketch_arrays(b.column(1), shingle, fraction)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(v))], [key, "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(v))], schema.names)
 
-    return d.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, sketch array<bigint>")
+    return map_arrow(d, run, schema)
 
 
 def merged(sketched: DataFrame, by: str) -> DataFrame:
@@ -103,20 +105,24 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
     """(key, sketch, contains) of every row: its sketch and the items (item_key, containment) of whose shingles it has at least `least`, null if none.
 
     Containment is counted over all shingles of both sides, kept by the sketch or not. Rows of one item_id are one item, their shingles
-    together; null item ids and wordless items are in nothing. Items beyond `most` shingles are joined by hash, rows apart by a number.
+    together; null item ids and wordless items are in nothing, null and empty texts contain nothing; repeated rows have a row each. Items that tie are all given, in the order of their ids.
+    A text of any length is read whole. Items beyond `most` shingles are joined by hash, rows apart by a number. Empty in, empty out; other columns are not looked at.
     """
     spark = docs.sparkSession
-    whole = cut(merged(sketches(items, item_key, text, fraction=1.0).where(F.col(item_key).isNotNull()), item_key), "items")
-    kind = f"`{key}` {docs.schema[key].dataType.simpleString()}, sketch array<bigint>, contains array<struct<{item_key}: {items.schema[item_key].dataType.simpleString()}, containment: double>>"
+    docs = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("string").alias("text"))
+    items = items.select(F.col(quoted(item_key)).alias("item"), F.col(quoted(text)).cast("string").alias("text"))
+    whole = cut(merged(sketches(items, "item", "text", fraction=1.0).where("item IS NOT NULL"), "item"), "items")
+    pair = T.StructType([T.StructField(item_key, items.schema["item"].dataType), T.StructField("containment", T.DoubleType())])
+    schema = T.StructType([T.StructField(key, docs.schema["key"].dataType), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("contains", T.ArrayType(pair))])
     if (whole.select(F.sum(F.size("sketch"))).first()[0] or 0) > most:
-        d = cut(docs.select(key, text).withColumn("_vx_row", F.monotonically_increasing_id()), "rows")
-        found = containment(whole, sketches(d, "_vx_row", text, fraction=1.0), item_key, "_vx_row", least)
-        found = found.groupBy("_vx_row").agg(F.sort_array(F.collect_list(F.struct(item_key, "containment"))).alias("contains"))
-        kept = sketches(d, "_vx_row", text, fraction=fraction)
-        return d.select(key, "_vx_row").join(kept, "_vx_row").join(found, "_vx_row", "left").select(key, "sketch", "contains")
-    t = whole.orderBy(item_key).toArrow().combine_chunks()
-    index = spark.sparkContext.broadcast(Items(t[item_key].combine_chunks(), t["sketch"].combine_chunks()))
-    d = docs.select(key, F.col(text).cast("string").alias("_vx_text"))
+        d = cut(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = containment(whole, sketches(d, "row", "text", fraction=1.0), "item", "row", least)
+        found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item", "containment"))).cast(T.ArrayType(pair)).alias("contains"))
+        kept = sketches(d, "row", "text", fraction=fraction)
+        return d.select("key", "row").join(kept, "row").join(found, "row", "left").select("key", "sketch", "contains").toDF(*schema.names)
+    t = whole.orderBy("item").toArrow().combine_chunks()
+    drop_cut(whole)
+    index = spark.sparkContext.broadcast(Items(t["item"].combine_chunks(), t["sketch"].combine_chunks()))
     limit = int(fraction * (1 << 64)) - 1
 
     def run(batches):
@@ -129,9 +135,9 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key:
             contains = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pairs, mask=pa.array(n == 0))
             low = np.append(0, np.cumsum(v.view(np.uint64) <= np.uint64(limit)))
             sketch = pa.ListArray.from_arrays(pa.array(low[off].astype(np.int32)), pa.array(v[low[1:] > low[:-1]]))
-            yield pa.RecordBatch.from_arrays([b.column(0), sketch, contains], [key, "sketch", "contains"])
+            yield pa.RecordBatch.from_arrays([b.column(0), sketch, contains], schema.names)
 
-    return d.mapInArrow(run, kind)
+    return map_arrow(docs, run, schema)
 
 
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

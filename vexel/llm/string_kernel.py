@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import plus, table
+from .common import free, map_arrow, table
 
 BITS = 15
 NGRAMS = (2, 3, 4)
@@ -116,14 +117,15 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with _vx_lang, the language of the highest score, and _vx_score; both null for a text that is null or shorter than two bytes, or without a model.
+    """docs and, last two, _vx_lang, the language of the highest score, and _vx_score (or longer free names); both null for a text that is null or shorter than two bytes, or without a model.
 
-    Rows are scored one by one; of equal scores the first language in order is taken. Other columns pass through.
+    Rows are scored one by one, repeated ones alike, a text of any length whole; of equal scores the first language in order is taken. Other columns pass through, whatever their names. Empty in, empty out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    mid = plus(docs, "_vx_lang", "string")
-    schema = mid.__class__([*mid.fields, *plus(docs, "_vx_score", "double").fields[-1:]])
+    at, n = docs.columns.index("text"), len(docs.columns)
+    lang, score = free(docs, "_vx_lang", "_vx_score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    out = schema.names
 
     def run(batches):
         for b in batches:
@@ -133,9 +135,9 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
             best = np.argmax(np.where(none[:, None], 0, s), 1)
             names = np.array(m.languages if m is not None else [""], object)[best]
             top = s[np.arange(len(s)), best].astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string(), mask=none), pa.array(top, mask=none)], names=[*b.schema.names, "_vx_lang", "_vx_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(names, pa.string(), mask=none), pa.array(top, mask=none)], names=out)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
