@@ -174,3 +174,50 @@ def test_update_log_is_compacted(spark, tmp_path):
     assert len([n for n in index.store.files.names(f"{index.uri}/updates") if n.endswith(".parquet")]) < 12
     index.refresh()
     assert sorted(map(tuple, index.vectors().selectExpr("external_id", "vector[0]").collect())) == want == [(i, v) for i, v in ((0, 10.0), (1, 11.0), (2, 7.0), (3, 8.0), (4, 9.0))]
+
+
+@pytest.mark.parametrize("step", ["append_updates", "save", "delete"])
+def test_an_interrupted_rewrite_loses_no_update(spark, tmp_path, monkeypatch, step):
+    uri = str(tmp_path / "i")
+    index = ingest(spark, "FLAT", uri, input_vectors=np.zeros((3, 2), np.float32), index_timestamp=10)
+    for i in range(4):
+        index.update(10 + i, [1.0, i], 20 + i)
+    owner = index.store.files if step == "delete" else index.store
+
+    def killed(*args, **kw):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(owner, step, killed)
+    with pytest.raises(KeyboardInterrupt):
+        index.store.rewrite_updates(index.store.updates(22))
+    monkeypatch.undo()
+    left = {r.external_id for r in open_index(spark, uri).store.updates().collect()}
+    assert left == ({12, 13} if step == "delete" else {10, 11, 12, 13})
+    index = open_index(spark, uri)
+    index.update(20, [5.0, 5.0], 40)
+    index.vacuum()
+    assert {r.external_id for r in index.store.updates().collect()} == left | {20}
+    assert sum(n.startswith("updates") for n in index.store.files.names(uri)) == 1
+
+
+def test_vamana_with_many_updates_walks_no_wider(spark, tmp_path):
+    from vexel.operators import graph
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8)).astype(np.float32)
+    index = ingest(spark, "VAMANA", str(tmp_path / "i"), input_vectors=x, index_timestamp=10, l_build=60, r_max_degree=24)
+    moved = np.arange(0, 1500, 2)
+    fresh = rng.normal(size=(len(moved), 8)).astype(np.float32)
+    index.update_batch(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(moved, fresh)], "external_id long, vector array<float>"), 20)
+    now = x.copy()
+    now[moved] = fresh
+    q = rng.normal(size=(30, 8)).astype(np.float32)
+    _, ids = index.query_matrix(q, 10)
+    hits = sum(len(set(ids[i].tolist()) & set(np.argsort(((now - v) ** 2).sum(1))[:10].tolist())) for i, v in enumerate(q))
+    assert hits >= 0.97 * 300
+    g = index.store.read("graph", index.version)
+    near = {int(i) for i in np.argsort(((x - q[0]) ** 2).sum(1))[:300]}
+    gone = spark.createDataFrame([(i,) for i in near], "external_id long")
+    got = graph.vamana_query(g, spark.createDataFrame([(0, q[0].tolist())], "query_id long, vector array<float>"), 10, 20, gone=gone)
+    want = [i for i in np.argsort(((x - q[0]) ** 2).sum(1)).tolist() if i not in near][:10]
+    assert {r.external_id for r in got.collect()} == set(want)

@@ -188,3 +188,50 @@ def test_bfs_levels(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(0, 4), (9, 0)], "src long, dst long")
     assert {r.node: r.level for r in graph.bfs(e, [0]).collect()} == {0: 0, 1: 1, 4: 1, 2: 2, 5: 2, 3: 3, 6: 3}
     assert {r.node for r in graph.bfs(e, [0], 1).collect()} == {0, 1, 4}
+
+
+def test_large_query_sets_give_the_rows_of_small_ones(spark, blobs):
+    _, _, base, queries = blobs
+    book = pq.train_pq(base, 4, clusters=32)
+    cent = kmeans.kmeans_fit(base, 6, max_iter=3)
+    encoded = pq.encode(kmeans.assign(base, cent), book).cache()
+    for f in (lambda b: pq.adc_query(encoded, book, queries, 5, broadcast_bytes=b), lambda b: pq.symmetric_query(encoded, book, queries, 5, broadcast_bytes=b), lambda b: pq.ivf_pq_query(encoded, cent, book, queries, 5, 3, 4.0, broadcast_bytes=b)):
+        small, large = as_dict(f(knn.BROADCAST_BYTES)), as_dict(f(500))
+        assert small == large and len(small) == 25
+
+
+def test_kmeans_over_a_sample_too_large_for_the_driver(spark, blobs):
+    x, _, base, _ = blobs
+    a = kmeans.centroid_matrix(kmeans.kmeans_fit(base, 12, "k-means++", 20, seed=3, sample_size=500))
+    b = kmeans.centroid_matrix(kmeans.kmeans_fit(base, 12, "k-means++", 20, seed=3, sample_size=500, driver_bytes=0))
+    cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).min(1).mean()
+    assert cost(b) < 1.5 * cost(a) + 1
+
+
+def test_distributed_kmeans_reassigns_small_clusters(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(400, 2)), [[1000.0, 1000.0]]]).astype(np.float32)
+    base = frame(spark, x, 0)
+    start = {r.part_id: r.size for r in kmeans.partition_sizes(kmeans.assign(base, kmeans.kmeans_fit(base, 5, "k-means++", 8, seed=1))).collect()}
+    again = {r.part_id: r.size for r in kmeans.partition_sizes(kmeans.assign(base, kmeans.kmeans_fit(base, 5, "k-means++", 8, seed=1, reassign=0.1))).collect()}
+    assert min(start.values()) == 1 and sum(again.values()) == 401 and sorted(again.values()) != sorted(start.values())
+
+
+def test_nn_descent_query_in_shards(spark, blobs):
+    x, q, base, queries = blobs
+    g = graph.knn_graph(base, 12).cache()
+    want = truth(x, q, 5, Metric.SUM_OF_SQUARES)
+    for rows in (1 << 20, 200):
+        got = as_dict(graph.nn_descent_query(g, base, queries, 5, l_search=80, seeds=60, shard_rows=rows))
+        assert sum(len({i for i, _ in got[k]} & {i for i, _ in want[k]}) for k in want) >= 0.9 * 125
+
+
+def test_a_folder_for_tables_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from vexel.operators.cut import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y/"}, sparkContext=context)) == "hdfs://x/y"

@@ -37,5 +37,13 @@ def test_bfs_reaches_all_that_can_be_reached(spark, distances):
     while level:
         level = sorted({int(j) for i in level for j in near[i]} - set(want))
         want |= dict.fromkeys(level, max(want.values()) + 1)
-    got = {r.node: r.level for r in QUERIES["bfs_all_levels"](spark, SF).collect()}
+    got = {r.node: r.level for r in QUERIES["bfs_levels"](spark, SF).collect()}
     assert got == want and max(got.values()) > 6
+
+
+@pytest.mark.parametrize("name,least", [("ivf_trained", 0.9), ("ivf_pq_trained", 0.9), ("vamana_query_L100", 0.95)])
+def test_trained_searches(spark, distances, name, least):
+    got = [(r.query_id, r.external_id) for r in QUERIES[name](spark, SF).collect()]
+    found = recall(got, distances)
+    print(name, found)
+    assert len(got) == K * len(distances) and found >= least

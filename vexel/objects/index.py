@@ -47,6 +47,18 @@ def embed(df: DataFrame, embedding: ObjectEmbedding) -> DataFrame:
     return df.mapInArrow(run, "external_id long, vector array<float>")
 
 
+def _filtered(df: DataFrame, predicate) -> DataFrame:
+    """(external_id) of the rows for which predicate(row as dict) holds: batch by batch, as it is Python code of the caller's."""
+    at = df.columns.index("external_id")
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array([bool(predicate(r)) for r in b.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(at).filter(keep)], ["external_id"])
+
+    return df.mapInArrow(run, "external_id long")
+
+
 def merge_per_object(found: DataFrame, k: int, per_embedding=F.max, per_query=F.sum, by_rank: bool = True) -> DataFrame:
     """(query_id, rank, external_id, score) from (embedding_id, query_id, rank, external_id, distance): first the vectors of one object for each query vector, then each query's vectors, are merged by the given aggregates.
 
@@ -129,7 +141,7 @@ class ObjectIndex:
             m = self.metadata()
             m = m if where is None else m.where(where)
             if filter_fn is not None:
-                m = m.where(F.udf(lambda r: bool(filter_fn(r.asDict())), "boolean")(F.struct(*m.columns)))
+                m = _filtered(m, filter_fn)
             allowed = m.select("external_id").distinct()
         fetch = k * OVERFETCH if allowed is not None and filter_mode == "post" else k
         v = q.select(F.col("embedding_id").alias("query_id"), "vector")

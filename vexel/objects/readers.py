@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from abc import ABC, abstractmethod
 from fnmatch import fnmatch
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,22 @@ def match_uri(uri: str, include: str | None = "*", exclude: list[str] | None = N
     return (include is None or fnmatch(name, include)) and not any(fnmatch(name, p) for p in exclude or ()) and (not suffixes or any(name.endswith(s) for s in suffixes))
 
 
+def _regex(pattern: str) -> str:
+    """The regular expression of a file name pattern, as match_uri() takes it."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2) if c == "[" else -1
+        if end > 0:
+            inner = pattern[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            out += "[" + ("^" + inner[1:] if inner[0] == "!" else r"\^" + inner[1:] if inner[0] == "^" else inner) + "]"
+            i = end
+        else:
+            out += {"*": ".*", "?": "."}.get(c, re.sub(r"([^A-Za-z0-9_])", r"\\\1", c))
+        i += 1
+    return f"(?s)^{out}$"
+
+
 def split_text(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
     """Chunks of at most `size` characters, cut at paragraphs, lines or words where one is near; each repeats up to `overlap` characters of the one before."""
     out, start = [], 0
@@ -76,9 +94,18 @@ class DirectoryTextReader(ObjectReader):
 
     def files(self, spark: SparkSession) -> DataFrame:
         k = self.kwargs
-        wanted = F.udf(lambda u: match_uri(u, k["include"], k["exclude"], k["suffixes"]), "boolean")
+        name = F.element_at(F.split(F.regexp_replace("path", "/+$", ""), "/"), -1)
+
+        def like(pattern: str):
+            return name.rlike(_regex(pattern))
+
+        wanted = F.lit(True) if k["include"] is None else like(k["include"])
+        for p in k["exclude"] or ():
+            wanted = wanted & ~like(p)
+        if k["suffixes"]:
+            wanted = wanted & reduce(lambda a, b: a | b, [name.endswith(s) for s in k["suffixes"]])
         df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(k["path"])
-        names = df.select("path").where(wanted("path"))
+        names = df.select("path").where(wanted)
         if k["max_files"] is not None:
             names = names.orderBy("path").limit(k["max_files"])
         return df.join(names, "path", "left_semi")

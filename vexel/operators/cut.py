@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset: a temporary one in local mode, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="vexel-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/vexel-{uuid.uuid4().hex}"
+    """df written as a table to the shared folder and read again; the table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/vexel-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)

@@ -42,12 +42,20 @@ def build_vamana(df: DataFrame, l_build: int = L_BUILD, r_max_degree: int = R_MA
     return d.groupBy("shard").applyInArrow(run, f"shard int, external_id long, vector {kind}, nbrs array<long>, start boolean")
 
 
-def vamana_query(graph: DataFrame, queries: DataFrame, k: int, l_search: int = L_SEARCH, metric: Metric | int | str = Metric.SUM_OF_SQUARES) -> DataFrame:
-    """The k nearest found by a best-first walk of width max(k, l_search) from each shard's medoid; queries go to every shard, which is read by one task."""
+def vamana_query(graph: DataFrame, queries: DataFrame, k: int, l_search: int = L_SEARCH, metric: Metric | int | str = Metric.SUM_OF_SQUARES, gone: DataFrame | None = None) -> DataFrame:
+    """The k nearest found by a best-first walk of width max(k, l_search) from each shard's medoid; queries go to every shard, which is read by one task.
+
+    gone: (external_id) of vectors that are walked through but not given back. A walk that finds fewer than k others is widened, twofold each time, until
+    it has k or all, so its width depends on the vectors that are gone near the query and not on how many there are.
+    """
     m = as_metric(metric)
     key, width = kn.row_key(m), max(k, l_search)
     shards = graph.select(F.col("shard").alias("q_shard")).distinct()
     q = queries.select("query_id", "vector").crossJoin(F.broadcast(shards))
+    if gone is not None:
+        graph = graph.join(gone.select("external_id", F.lit(True).alias("gone")).distinct(), "external_id", "left")
+    else:
+        graph = graph.withColumn("gone", F.lit(None).cast("boolean"))
 
     def run(key_, left, right):
         empty = pa.table({"query_id": pa.array([], pa.int64()), "external_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
@@ -60,11 +68,19 @@ def vamana_query(graph: DataFrame, queries: DataFrame, k: int, l_search: int = L
         flat, off = np.searchsorted(ids, nbrs.flatten().to_numpy()), nbrs.offsets.to_numpy() - nbrs.offsets[0].as_py()
         adj = [flat[off[i] : off[i + 1]] for i in order]
         start = np.flatnonzero(left["start"].to_numpy(zero_copy_only=False)[order]).tolist()
+        live = ~np.asarray(left["gone"].fill_null(False)).astype(bool)[order]
+        most = int(live.sum())
         qid, q = right["query_id"].to_numpy(), kn.matrix(right["vector"])
-        out = []
-        for i in range(len(qid)):
-            found, _ = kn.greedy_search(x, adj, start, q[i], width, key)
-            at = np.array([n for _, n in found])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(len(qid) if most else 0):
+            wide = width
+            while True:
+                found, _ = kn.greedy_search(x, adj, start, q[i], wide, key)
+                at = np.array([n for _, n in found])
+                at = at[live[at]]
+                if len(at) >= min(k, most) or wide >= len(x):
+                    break
+                wide *= 2
             d = kn.exact(m, np.repeat(q[i : i + 1], len(at), 0), x[at])
             b = kn.best(m, np.zeros(len(at)), ids[at], d, k)
             out.append((np.full(len(b), qid[i]), ids[at][b], d[b]))
@@ -99,12 +115,8 @@ def random_graph(df: DataFrame, degree: int, seed: int = 0) -> DataFrame:
     # Positions without a window over the whole table: the number of each partition's rows is added up first.
     pos = ids.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("external_id")))
     pos = cut(pos)
-    base, at = {}, 0
-    for r in pos.groupBy("_p").count().orderBy("_p").collect():
-        base[r["_p"]] = at
-        at += r["count"]
-    start = F.create_map(*[F.lit(v) for kv in base.items() for v in kv]) if base else F.lit(None)
-    pos = pos.select("external_id", (start[F.col("_p")] + F.col("_i") - 1).cast("long").alias("_pos"))
+    base = pos.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))  # one row a partition
+    pos = pos.join(F.broadcast(base), "_p").select("external_id", (F.col("_start") + F.col("_i") - 1).cast("long").alias("_pos"))
     picks = F.transform(F.sequence(F.lit(1), F.lit(2 * degree)), lambda i: F.pmod(F.xxhash64("external_id", i, F.lit(seed)), F.lit(max(1, n))))
     want = pos.where("_pos is not null").select(F.col("external_id").alias("src"), F.col("_pos").alias("_own"), F.explode(F.slice(F.array_distinct(F.array_remove(F.transform(picks, lambda x: F.when(x == F.col("_pos"), F.lit(-1).cast("long")).otherwise(x)), F.lit(-1).cast("long"))), 1, degree)).alias("_pos"))
     return want.join(pos.withColumnRenamed("external_id", "dst"), "_pos").select("src", "dst")
@@ -141,13 +153,28 @@ def nn_descent(df: DataFrame, k: int, rounds: int | None = None, delta: float =
     return best(g, k) if pool > k else g
 
 
-def nn_descent_query(graph: DataFrame, df: DataFrame, queries: DataFrame, k: int, l_search: int = L_SEARCH, seeds: int = 10, seed: int = 0) -> DataFrame:
-    """vamana_query() over an edge table, from `seeds` pseudo-random starts."""
-    both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def nn_descent_query(graph: DataFrame, df: DataFrame, queries: DataFrame, k: int, l_search: int = L_SEARCH, seeds: int = 10, seed: int = 0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """vamana_query() over an edge table, from `seeds` pseudo-random starts in each shard.
+
+    Vectors are cut into shards of about shard_rows by hash, each walked by one task, over edges within it and steps of two edges that lead out of it and back; with one shard it is a walk over the whole graph.
+    """
+    shards = max(1, -(-df.count() // shard_rows))
+
+    def shard(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+
+    both = graph.select("src", "dst").unionByName(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    if shards > 1:
+        ends = cut(both.withColumn("own", shard("src")))  # joined by the node between and the shard, so only pairs within a shard are made
+        two = ends.select(F.col("dst").alias("mid"), "src", "own").join(ends.select(F.col("dst").alias("mid"), F.col("src").alias("dst"), "own"), ["mid", "own"])
+        both = ends.where(shard("dst") == F.col("own")).select("src", "dst").unionByName(two.where((shard("mid") != F.col("own")) & (F.col("src") != F.col("dst"))).select("src", "dst"))
     nbrs = both.groupBy("src").agg(F.collect_set("dst").alias("nbrs")).withColumnRenamed("src", "external_id")
-    first = cut(df.orderBy(F.xxhash64("external_id", F.lit(seed))).limit(seeds).select("external_id").withColumn("start", F.lit(True)))
-    g = df.select("external_id", "vector").join(nbrs, "external_id", "left").join(F.broadcast(first), "external_id", "left")
-    g = g.select(F.lit(0).alias("shard"), "external_id", "vector", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"), F.coalesce("start", F.lit(False)).alias("start"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("shard").orderBy(F.xxhash64("external_id", F.lit(seed)), "external_id")
+    first = df.select("external_id", shard("external_id").alias("shard")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= seeds).select("external_id", F.lit(True).alias("start"))
+    g = df.select("external_id", "vector").join(nbrs, "external_id", "left").join(F.broadcast(cut(first)), "external_id", "left")
+    g = g.select(shard("external_id").alias("shard"), "external_id", "vector", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"), F.coalesce("start", F.lit(False)).alias("start"))
     return vamana_query(g, queries, k, l_search)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
+from .cut import cut
 
+#: Bytes of vectors (as doubles) that a fit may bring to the driver.
+DRIVER_BYTES = 512 << 20
 CENTROIDS = "part_id int, centroid array<float>"
 
 
@@ -51,7 +54,12 @@ def init_centroids(df: DataFrame, k: int, init: str = "random", seed: int = 0, s
 
 
 def lloyd_step(df: DataFrame, c: np.ndarray) -> np.ndarray:
-    """One Lloyd round over the whole table: per task sums and counts, added up per centroid. An empty centroid stays."""
+    """One Lloyd round over the whole table: the new centroids."""
+    return lloyd_sums(df, c)[0]
+
+
+def lloyd_sums(df: DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(new centroids, vectors of each) of a round over the whole table: per task sums and counts, added up per centroid. An empty centroid stays."""
     shared = df.sparkSession.sparkContext.broadcast(c)
 
     def partial(batches):
@@ -71,28 +79,38 @@ def lloyd_step(df: DataFrame, c: np.ndarray) -> np.ndarray:
 
     schema = "part_id int, total array<double>, n long"
     t = df.select("vector").mapInArrow(partial, schema).groupBy("part_id").applyInArrow(add, schema).toArrow()
-    out = c.copy()
+    out, n = c.copy(), np.zeros(len(c), np.int64)
     if len(t):
+        n[t["part_id"].to_numpy()] = t["n"].to_numpy()
         out[t["part_id"].to_numpy()] = kn.matrix(t["total"]) / t["n"].to_numpy()[:, None]
-    return out
+    return out, n
 
 
-def kmeans_fit(df: DataFrame, k: int, init: str = "random", max_iter: int = 10, tol: float = 1e-4, seed: int = 0, sample_size: int | None = None, reassign: float = 0.0, policy: str = "RANDOM") -> DataFrame:
-    """(part_id, centroid). With sample_size the fit is on the driver over that many rows; else every round reads the whole table.
+def kmeans_fit(df: DataFrame, k: int, init: str = "random", max_iter: int = 10, tol: float = 1e-4, seed: int = 0, sample_size: int | None = None, reassign: float = 0.0, policy: str = "RANDOM", driver_bytes: int = DRIVER_BYTES) -> DataFrame:
+    """(part_id, centroid). With sample_size the fit is over that many rows, on the driver if they have at most driver_bytes; else every round reads the whole sample or table, task by task.
 
-    Stops after max_iter rounds or when no centroid moved by more than tol times the centroids' total square.
+    Stops after max_iter rounds or when no centroid moved by more than tol times the centroids' total square. reassign: after each round but the last, centroids with fewer than this part of the
+    mean number of vectors go to vectors drawn by hash.
     """
     if sample_size is not None:
-        x = _collect(df, policy, sample_size, seed)
-        if init == "k-means++":
-            c = kn.kmeans_start(x, k, seed)
-        else:
-            c = np.zeros((k, x.shape[1]))
-            c[: min(k, len(x))] = x[:k]
-        return centroid_table(df.sparkSession, kn.lloyd(x, c, max_iter, tol, reassign) if len(x) > k else c)
+        dims = df.select(F.max(F.size("vector"))).first()[0] or 0
+        if sample_size * dims * 8 <= driver_bytes or df.count() * dims * 8 <= driver_bytes:
+            x = _collect(df, policy, sample_size, seed)
+            if init == "k-means++":
+                c = kn.kmeans_start(x, k, seed)
+            else:
+                c = np.zeros((k, x.shape[1]))
+                c[: min(k, len(x))] = x[:k]
+            return centroid_table(df.sparkSession, kn.lloyd(x, c, max_iter, tol, reassign) if len(x) > k else c)
+        df = cut(sample(df, sample_size, policy, seed).select("external_id", "vector"))
     c = init_centroids(df, k, init, seed)
-    for _ in range(max_iter):
-        new = lloyd_step(df, c)
+    for i in range(max_iter):
+        new, n = lloyd_sums(df, c)
+        if reassign and i < max_iter - 1:
+            low = np.flatnonzero(n < reassign * n.sum() / max(1, k))
+            if len(low):
+                fresh = _collect(df, "RANDOM", len(low), seed + i + 1)
+                new[low[: len(fresh)]] = fresh
         shift = float(np.einsum("ij,ij->i", new - c, new - c).max()) if len(c) else 0.0
         c = new
         if shift < tol * float(np.einsum("ij,ij->", c, c)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from ..functions.distance import distance
 from ..functions.metrics import Metric, as_metric
 from .ivf import probe
 from .kmeans import centroid_matrix, sample
-from .knn import _SCORED, collect_queries, running_top_k
+from .knn import _SCORED, BROADCAST_BYTES, collect_queries, is_small, running_top_k
 from .topk import top_k
 
 CODEBOOK = "subspace int, code short, centroid array<float>"
@@ -87,11 +89,21 @@ def _table_sum(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return d
 
 
-def _code_top_k(encoded: DataFrame, qid: np.ndarray, tables: np.ndarray, k: int, metric: Metric, by: dict[int, np.ndarray] | None) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast((qid, tables, by))
+def _chunks(queries: DataFrame, limit: int) -> list[DataFrame]:
+    """queries in parts of about `limit` bytes of vectors each, by hash of their ids; as they are if they are small."""
+    if is_small(queries, limit):
+        return [queries]
+    n, d = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    parts = -(-n * (d or 1) * 8 // max(1, limit))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _code_top_k(encoded: DataFrame, qid: np.ndarray, q: np.ndarray, cb: np.ndarray, k: int, metric: Metric, by: dict[int, np.ndarray] | None) -> DataFrame:
+    """Per task the k nearest by codes to each query. The queries and the codebook go to the tasks; distance tables are made there, for 256 queries at a time."""
+    shared = encoded.sparkSession.sparkContext.broadcast((qid, q, cb, by))
 
     def run(batches):
-        qid, tables, by = shared.value
+        qid, q, cb, by = shared.value
 
         def score(b):
             codes = kn.matrix(b.column(1)).astype(np.int64)
@@ -103,7 +115,7 @@ def _code_top_k(encoded: DataFrame, qid: np.ndarray, tables: np.ndarray, k: int,
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for qs, rows in groups:
                 for s in range(0, len(qs), 256):
-                    d = _table_sum(tables[qs[s : s + 256]], codes[rows])
+                    d = _table_sum(kn.adc_tables(q[qs[s : s + 256]], cb), codes[rows])
                     d = np.sqrt(d) if metric is Metric.L2 else d
                     if len(rows) > k:
                         i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
@@ -115,49 +127,55 @@ def _code_top_k(encoded: DataFrame, qid: np.ndarray, tables: np.ndarray, k: int,
         return running_top_k(batches, metric, k, score)
 
     cols = ["external_id", "codes", *(["part_id"] if by is not None else [])]
-    return top_k(encoded.select(*cols).mapInArrow(run, _SCORED), k, metric)
+    return encoded.select(*cols).mapInArrow(run, _SCORED)
 
 
-def adc_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES) -> DataFrame:
-    """The k nearest by distance of the raw query to the decoded vectors, from one table of sub-distances per query."""
-    qid, q = collect_queries(queries)
-    return _code_top_k(encoded, qid, kn.adc_tables(q, codebook_array(book)), k, as_metric(metric), None)
+def adc_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The k nearest by distance of the raw query to the decoded vectors, from one table of sub-distances per query. Queries beyond broadcast_bytes are taken in parts, each a scan of the codes."""
+    cb, m = codebook_array(book), as_metric(metric)
+    parts = [_code_top_k(encoded, *collect_queries(p), cb, k, m, None) for p in _chunks(queries, broadcast_bytes)]
+    return top_k(reduce(DataFrame.unionByName, parts), k, m)
 
 
-def symmetric_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES) -> DataFrame:
+def symmetric_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """adc_query() with the queries encoded too: distances between decoded vectors."""
-    cb = codebook_array(book)
+    cb, metric_ = codebook_array(book), as_metric(metric)
     m, _, w = cb.shape
-    qid, q = collect_queries(queries)
-    codes = np.stack([kn.nearest_row(q[:, s * w : (s + 1) * w], cb[s])[0] for s in range(m)], 1) if len(q) else np.zeros((0, m), int)
-    q = np.concatenate([cb[s][codes[:, s]] for s in range(m)], 1)
-    return _code_top_k(encoded, qid, kn.adc_tables(q, cb), k, as_metric(metric), None)
+    parts = []
+    for p in _chunks(queries, broadcast_bytes):
+        qid, q = collect_queries(p)
+        codes = np.stack([kn.nearest_row(q[:, s * w : (s + 1) * w], cb[s])[0] for s in range(m)], 1) if len(q) else np.zeros((0, m), int)
+        parts.append(_code_top_k(encoded, qid, np.concatenate([cb[s][codes[:, s]] for s in range(m)], 1), cb, k, metric_, None))
+    return top_k(reduce(DataFrame.unionByName, parts), k, metric_)
 
 
-def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES) -> DataFrame:
-    """The k nearest of the candidates by their exact distance: one join to the vectors by id."""
+def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, few: bool = False) -> DataFrame:
+    """The k nearest of the candidates by their exact distance: one join to the vectors by id. few: the candidates are known to be few enough to go to every task, so that no vector is shuffled."""
     q = queries.select("query_id", F.col("vector").alias("_q"))
-    c = candidates.select("query_id", "external_id").distinct().join(q, "query_id").join(base.select("external_id", "vector"), "external_id")
+    own = candidates.select("query_id", "external_id").distinct()
+    near = base.select("external_id", "vector").join(F.broadcast(own) if few else own, "external_id")
+    c = near.join(q, "query_id")
     return top_k(c.select("query_id", "external_id", distance(metric, "_q", "vector").alias("distance")), k, metric)
 
 
-def ivf_pq_query(encoded: DataFrame, centroids: DataFrame, book: DataFrame, queries: DataFrame, k: int, nprobe: int = 100, k_factor: float = 1.0, metric: Metric | int | str = Metric.SUM_OF_SQUARES) -> DataFrame:
+def ivf_pq_query(encoded: DataFrame, centroids: DataFrame, book: DataFrame, queries: DataFrame, k: int, nprobe: int = 100, k_factor: float = 1.0, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Nearest by codes among the nprobe partitions; with k_factor > 1, floor(k * k_factor) of them are ranked anew by exact distance.
 
-    encoded: (external_id, vector, part_id, codes).
+    encoded: (external_id, vector, part_id, codes). Queries beyond broadcast_bytes are taken in parts.
     """
     if k_factor < 1:
         raise ValueError("k_factor must be at least 1")
-    m = as_metric(metric)
-    qid, q = collect_queries(queries)
-    c = centroid_matrix(centroids)
-    i, j, d = kn.near(Metric.SUM_OF_SQUARES, q, c, min(nprobe, len(c)))
-    at = kn.best(Metric.SUM_OF_SQUARES, i, j, d, nprobe)
-    by = {int(p): np.unique(i[at][j[at] == p]) for p in np.unique(j[at])}
-    wide = int(k * k_factor)
-    near = encoded.where(F.col("part_id").isin(sorted(by))) if len(by) < len(c) else encoded
-    first = _code_top_k(near, qid, kn.adc_tables(q, codebook_array(book)), wide, m, by)
-    return first if wide == k else rerank(first, near, queries, k, m)
+    m, cb, c, wide = as_metric(metric), codebook_array(book), centroid_matrix(centroids), int(k * k_factor)
+    parts = []
+    for p in _chunks(queries, broadcast_bytes):
+        qid, q = collect_queries(p)
+        i, j, d = kn.near(Metric.SUM_OF_SQUARES, q, c, min(nprobe, len(c)))
+        at = kn.best(Metric.SUM_OF_SQUARES, i, j, d, nprobe)
+        by = {int(x): np.unique(i[at][j[at] == x]) for x in np.unique(j[at])}
+        near = encoded.where(F.col("part_id").isin(sorted(by))) if len(by) < len(c) else encoded
+        first = top_k(_code_top_k(near, qid, q, cb, wide, m, by), wide, m)
+        parts.append(first if wide == k else rerank(first, near, p, k, m, few=len(qid) * wide * 24 <= broadcast_bytes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pq_errors(encoded: DataFrame, book: DataFrame) -> DataFrame:

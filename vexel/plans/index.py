@@ -140,9 +140,7 @@ class Index:
     def _base_query(self, q: DataFrame, k: int, nprobe: int | None, k_factor: float, l_search: int | None, touched: DataFrame | None) -> DataFrame:
         if self.index_type == "VAMANA":
             g = self.store.read("graph", self.version)
-            gone = 0 if touched is None else touched.count()  # so many more are fetched, so that k are left
-            found = graph.vamana_query(g, q, k + gone, l_search or graph.L_SEARCH, self.metric)
-            return found if touched is None else topk.top_k(found.join(touched.select("external_id"), "external_id", "left_anti"), k, self.metric)
+            return graph.vamana_query(g, q, k, l_search or graph.L_SEARCH, self.metric, None if touched is None else touched.select("external_id"))
         base = self.base()
         if touched is not None:
             base = base.join(touched.select("external_id"), "external_id", "left_anti")
@@ -218,6 +216,7 @@ class Index:
     def vacuum(self) -> None:
         """Drops update entries and directories that no version in the history needs any more."""
         self.store.compact_updates()
+        self.store.drop_orphans()
         known = {f"v={t}" for t in self.meta["ingestion_timestamps"]}
         for name in ("vectors", "centroids", "codebook", "graph"):
             for v in self.store.files.names(f"{self.store.uri}/{name}"):
@@ -226,17 +225,14 @@ class Index:
 
     def clear_history(self, timestamp: int) -> None:
         """Forgets versions and updates up to the timestamp."""
-        from ..operators.cut import cut
-
         meta = self.store.load()
         gone = [t for t in meta["ingestion_timestamps"] if t <= timestamp]
         keep = [i for i, t in enumerate(meta["ingestion_timestamps"]) if t > timestamp]
         for name in ("ingestion_timestamps", "base_sizes", "partition_history"):
             meta[name] = [meta[name][i] for i in keep if i < len(meta[name])]
-        left = cut(self.store.updates(timestamp + 1))
+        left = self.store.updates(timestamp + 1)
         meta["has_updates"] = not left.isEmpty()
-        self.store.save(meta)
-        self.store.rewrite_updates(left)
+        self.store.rewrite_updates(left, meta)
         for t in gone:
             self.store.drop_version(t)
         self.refresh()

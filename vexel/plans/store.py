@@ -108,32 +108,43 @@ class Store:
         for name in ("vectors", "centroids", "codebook", "graph"):
             self.files.delete(self.path(name, version))
 
+    def _log(self) -> str:
+        """The directory of the update log: the description file names it, so that a new log replaces the old one when that file does."""
+        return f"{self.uri}/{self.load().get('updates', 'updates') if self.exists() else 'updates'}"
+
     def updates(self, low: int = 0, high: int = MAX_TS) -> DataFrame:
         """The log's entries with low <= ts <= high."""
-        path = f"{self.uri}/updates"
+        path = self._log()
         if not any(n.endswith(".parquet") for n in self.files.names(path)):
             return self.spark.createDataFrame([], UPDATES)
         return self.spark.read.schema(UPDATES).parquet(path).where(F.col("ts").between(low, high))
 
-    def append_updates(self, df: DataFrame) -> None:
-        df.select("external_id", F.col("vector").cast("array<float>").alias("vector"), F.col("ts").cast("long").alias("ts")).write.mode("append").parquet(f"{self.uri}/updates")
+    def append_updates(self, df: DataFrame, path: str | None = None) -> None:
+        df.select("external_id", F.col("vector").cast("array<float>").alias("vector"), F.col("ts").cast("long").alias("ts")).write.mode("append").parquet(path or self._log())
 
     def compact_updates(self) -> None:
-        """Rewrites the log if it has more than COMPACT_FILES files: first the new files, then the old ones go."""
-        path = f"{self.uri}/updates"
-        old = [n for n in self.files.names(path) if n.endswith(".parquet")]
-        if len(old) <= COMPACT_FILES:
-            return
-        temp = f"{self.uri}/updates-{uuid.uuid4().hex}"
-        self.updates().repartition(1 + len(old) // 1000).write.parquet(temp)
-        self.rewrite_updates(self.spark.read.schema(UPDATES).parquet(temp))
-        self.files.delete(temp)
-
-    def rewrite_updates(self, df: DataFrame) -> None:
-        """Replaces the log by df, which must not read it."""
-        self.files.delete(f"{self.uri}/updates")
-        if not df.isEmpty():
-            self.append_updates(df)
+        """Rewrites the log into fewer files if it has more than COMPACT_FILES."""
+        old = [n for n in self.files.names(self._log()) if n.endswith(".parquet")]
+        if len(old) > COMPACT_FILES:
+            self.rewrite_updates(self.updates().repartition(1 + len(old) // 1000))
+
+    def rewrite_updates(self, df: DataFrame, meta: dict | None = None) -> None:
+        """Replaces the log by df and the description by meta (default: as it is).
+
+        The new log is written beside the old one, then the description file, which names it, is replaced, and only then the
+        old log goes: whatever is interrupted, one whole log is in force.
+        """
+        old, name = self._log(), f"updates-{uuid.uuid4().hex}"
+        self.append_updates(df, f"{self.uri}/{name}")
+        self.save((meta or self.load()) | {"updates": name})
+        self.files.delete(old)
+
+    def drop_orphans(self) -> None:
+        """Deletes logs that an interrupted rewrite has left."""
+        own = self._log().rsplit("/", 1)[-1]
+        for n in self.files.names(self.uri):
+            if n != own and (n == "updates" or n.startswith("updates-")):
+                self.files.delete(f"{self.uri}/{n}")
 
 
 def resolve(history: list[int], timestamp) -> tuple[int | None, int, int]:

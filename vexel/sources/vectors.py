@@ -49,6 +49,16 @@ def _open(uri: str):
     return f.open_input_file(path), f.get_file_info(path).size
 
 
+def _create(uri: str):
+    """A new file at an address, as _open() takes it."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return open(uri, "wb")
+    from pyarrow import fs
+
+    f, path = fs.FileSystem.from_uri(uri)
+    return f.open_output_stream(path)
+
+
 def file_metadata(uri: str, kind: str) -> tuple[int, int, str]:
     """(vectors, dimensions, element type) from a file's first bytes and length."""
     dtype, _, skip, head = FORMATS[kind]
@@ -156,20 +166,35 @@ def source_metadata(spark: SparkSession, uri: str, source_type: str | None = Non
 
 
 def write_vectors(df: DataFrame, path: str, kind: str | None = None) -> None:
-    """Writes one file in the order of external_id, streamed through the driver; for exchange and fixtures."""
+    """Writes one file in the order of external_id, by way of the driver; for exchange and fixtures.
+
+    Tasks turn runs of sorted vectors into bytes, the driver puts those of one partition after another, so it holds one partition's.
+    """
     dtype, _, skip, head = FORMATS[kind or autodetect(path)]
-    n = d = 0
-    with open(path, "wb") as f:
-        f.write(b"\0" * skip)
-        for r in df.select("external_id", "vector").orderBy("external_id").toLocalIterator():
-            v = np.asarray(r.vector, dtype)
-            if n and len(v) != d:
+
+    def encoded(batches):
+        for b in batches:
+            x = b.column(1)
+            size = np.unique(np.diff(x.offsets.to_numpy()))
+            if len(size) > 1:
                 raise ValueError("vectors of unequal length")
-            n, d = n + 1, len(v)
-            f.write((struct.pack("<i", d) if head else b"") + v.tobytes())
+            if not len(size):
+                continue
+            v = np.ascontiguousarray(np.asarray(x.flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1).astype(dtype))
+            rows = v.view(np.uint8).reshape(b.num_rows, -1)
+            if head:
+                rows = np.hstack([np.tile(np.frombuffer(struct.pack("<i", int(size[0])), np.uint8), (b.num_rows, 1)), rows])
+            yield pa.RecordBatch.from_arrays([pa.array([int(size[0])], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["d", "data"])
+
+    own = df.select("external_id", "vector")
+    n, d = own.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    with _create(path) as f:
         if skip:
-            f.seek(0)
-            f.write(struct.pack("<II", n, d))
+            f.write(struct.pack("<II", n, d or 0))
+        for r in own.orderBy("external_id").mapInArrow(encoded, "d int, data binary").toLocalIterator():
+            if r.d != d:
+                raise ValueError("vectors of unequal length")
+            f.write(r.data)
 
 
 def coo_to_vectors(df: DataFrame, row: str, col: str, value: str, dimensions: int) -> DataFrame:
