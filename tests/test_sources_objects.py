@@ -188,3 +188,49 @@ def test_stream_of_updates(spark, tmp_path):
     assert run() == [2, 4]
     assert run() == [2, 4]
     assert [r.external_id for r in open_index(spark, str(tmp_path / "i")).query(np.array([[4, 4]], np.float32), 1).collect()] == [4]
+
+
+def test_texts_of_files_by_their_type(spark, tmp_path):
+    import zipfile
+
+    from vexel.objects import text_of
+
+    (tmp_path / "a.html").write_text("<html><head><title>t</title><style>p{}</style></head><body><h1>One &amp; two</h1><p>three <b>four</b></p><script>var x = '<p>';</script></body></html>")
+    (tmp_path / "b.md").write_text("# Title\n\n- a [link](http://x.org) and **bold** `code`\n\n```py\nx\n```\n> said\n")
+    (tmp_path / "c.txt").write_text("<p>plain</p>")
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>first </w:t></w:r><w:r><w:t>part</w:t></w:r></w:p><w:p><w:r><w:t>second</w:t></w:r></w:p></w:body></w:document>')
+    got = {r.uri.rsplit("/", 1)[-1]: r.text for r in DirectoryTextReader(str(tmp_path)).objects(spark).collect()}
+    assert got["a.html"] == "One & two\nthree four" and got["c.txt"] == "<p>plain</p>" and got["d.docx"] == "first part\nsecond"
+    assert "Title" in got["b.md"] and "a link and bold code" in got["b.md"] and not any(c in got["b.md"] for c in "#*`>[")
+    only = DirectoryTextReader(str(tmp_path), include="[a-c].*", exclude=["b*"], suffixes=[".html", ".md"]).objects(spark).collect()
+    assert [r.uri.rsplit("/", 1)[-1] for r in only] == ["a.html"]
+    with pytest.raises(RuntimeError, match="pypdf"):
+        text_of(b"%PDF-1.4", "x.pdf")
+
+
+def test_adapters_of_models_that_are_not_here(monkeypatch):
+    import sys
+    from types import ModuleType
+
+    import pandas as pd
+
+    from vexel.objects import ColPaliEmbedding, ImageModelEmbedding, LangChainEmbedding, ResNetEmbedding
+
+    for e in (LangChainEmbedding("no_such_library.Model", 3), ImageModelEmbedding("m", 3), ResNetEmbedding(), ColPaliEmbedding("m")):
+        with pytest.raises(RuntimeError, match="needs the library"):
+            e.load()
+    fake = ModuleType("fake_chain")
+
+    class Model:
+        def __init__(self, scale):
+            self.scale = scale
+
+        def embed_documents(self, texts):
+            return [[len(t) * self.scale, 1, 0] for t in texts]
+
+    fake.Model = Model
+    monkeypatch.setitem(sys.modules, "fake_chain", fake)
+    e = LangChainEmbedding("fake_chain.Model", 3, {"scale": 2})
+    e.load()
+    assert e.embed(pd.DataFrame({"external_id": [1, 2], "text": ["abc", None]})).tolist() == [[6, 1, 0], [0, 1, 0]]

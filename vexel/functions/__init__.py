@@ -9,6 +9,7 @@ from .distance import (  # noqa: F401
     normalize,
     quantize_int8,
     squared_norm,
+    subify,
     sum_of_squares,
 )
 from .metrics import MAX_FLOAT32, NO_ID, Metric, check_metric  # noqa: F401

@@ -73,3 +73,11 @@ def quantize_int8(a: Column | str, low: Column, high: Column) -> Column:
 
 def distance(metric: Metric | int | str, a: Column | str, b: Column | str) -> Column:
     return {Metric.SUM_OF_SQUARES: sum_of_squares, Metric.L2: l2, Metric.INNER_PRODUCT: inner_product, Metric.COSINE: cosine}[as_metric(metric)](a, b)
+
+
+def subify(vector: Column | str, subspaces: int) -> Column:
+    """The vector cut into `subspaces` equal parts, as an array of arrays; null where its length is no multiple of them."""
+    v = _col(vector)
+    width = (F.size(v) / subspaces).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(subspaces - 1)), lambda s: F.slice(v, s * width + 1, width))
+    return F.when(F.size(v) % subspaces == 0, parts)

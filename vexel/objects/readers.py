@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import mimetypes
 import re
+import zipfile
 from abc import ABC, abstractmethod
 from fnmatch import fnmatch
 from functools import reduce
+from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,8 +91,81 @@ def split_text(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
     return out
 
 
+class _Html(HTMLParser):
+    """Collects what a page shows: no scripts, styles or tags; blocks end lines."""
+
+    HIDDEN = {"script", "style", "template", "noscript", "head"}
+    BLOCKS = {"p", "div", "br", "li", "tr", "table", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "pre", "blockquote", "hr", "dd", "dt"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden = max(0, self.hidden - (tag in self.HIDDEN))
+        if tag in self.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def _html(content: bytes) -> str:
+    p = _Html()
+    p.feed(content.decode("utf-8", "replace"))
+    p.close()
+    lines = (" ".join(x.split()) for x in "".join(p.parts).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def _markdown(content: bytes) -> str:
+    t = content.decode("utf-8", "replace")
+    t = re.sub(r"(?m)^(?:```|~~~).*$|^\s{0,3}(?:[-*_]\s*){3,}$", "", t)
+    t = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", t)
+    t = re.sub(r"(?m)^\s{0,3}(?:#{1,6}\s+|>\s?|[-*+]\s+|\d+[.)]\s+)", "", t)
+    return re.sub(r"(\*\*|__|`)(.+?)\1", r"\2", t)
+
+
+def _pdf(content: bytes) -> str:
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("PDF files need the library pypdf") from e
+    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
+
+
+def _docx(content: bytes) -> str:
+    """The paragraphs of a .docx file, which is a zip of XML."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    return "\n".join("".join(t.text or "" for t in p.iter(w + "t")) for p in root.iter(w + "p"))
+
+
+#: How the text of a file is had, by its MIME type; others are taken as UTF-8.
+PARSERS = {
+    "text/html": _html,
+    "application/xhtml+xml": _html,
+    "text/markdown": _markdown,
+    "application/pdf": _pdf,
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": _docx,
+}
+
+
+def text_of(content: bytes, uri: str) -> str:
+    """The text of a file, by the MIME type that its name stands for."""
+    kind = {".md": "text/markdown", ".markdown": "text/markdown", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}.get("." + uri.rsplit(".", 1)[-1].lower()) or mimetypes.guess_type(uri)[0]
+    return PARSERS.get(kind, lambda c: c.decode("utf-8", "replace"))(bytes(content))
+
+
 class DirectoryTextReader(ObjectReader):
-    """Text files under a directory, in chunks: (external_id, uri, chunk, text). The id is a hash of the address and the chunk's number."""
+    """Text, HTML, Markdown, PDF and docx files under a directory, in chunks: (external_id, uri, chunk, text). The id is a hash of the address and the chunk's number."""
 
     def __init__(self, path: str, include: str = "*", exclude: list[str] | None = None, suffixes: list[str] | None = None, max_files: int | None = None, chunk_size: int = 1000, chunk_overlap: int = 100):
         super().__init__(path=path, include=include, exclude=exclude, suffixes=suffixes, max_files=max_files, chunk_size=chunk_size, chunk_overlap=chunk_overlap)
@@ -114,13 +192,13 @@ class DirectoryTextReader(ObjectReader):
         size, overlap = self.kwargs["chunk_size"], self.kwargs["chunk_overlap"]
 
         @F.pandas_udf("array<string>")
-        def chunked(content):
+        def chunked(content, uri):
             import pandas as pd
 
-            return pd.Series([split_text(bytes(c).decode("utf-8", "replace"), size, overlap) for c in content])
+            return pd.Series([split_text(text_of(c, u), size, overlap) for c, u in zip(content, uri)])
 
         chunked.func.__annotations__.clear()
-        d = self.files(spark).select(F.col("path").alias("uri"), F.posexplode(chunked("content")).alias("chunk", "text"))
+        d = self.files(spark).select(F.col("path").alias("uri"), F.posexplode(chunked("content", "path")).alias("chunk", "text"))
         return d.select(F.xxhash64("uri", "chunk").alias("external_id"), "uri", "chunk", "text")
 
     def metadata(self, spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import Metric, cosine_normalized, normalize, quantize_int8, squared_norm, sum_of_squares
+from .functions import Metric, cosine_normalized, normalize, quantize_int8, squared_norm, subify, sum_of_squares
 from .objects.embeddings import ColumnEmbedding
 from .objects.index import ObjectIndex, merge_per_object
 from .objects.readers import TableReader
@@ -123,6 +123,13 @@ def subspace_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(n, "vec_id").select("vec_id", sum_of_squares("embedding", "next", 8, 24).alias("distance"))
 
 
+@query(f"SELECT vec_id, CAST(s AS INT) AS part, CAST(p - 1 AS INT) AS pos, x FROM (SELECT vec_id, s, unnest(embedding[s * 16 + 1 : s * 16 + 16]) AS x, generate_subscripts(embedding[s * 16 + 1 : s * 16 + 16], 1) AS p FROM embeddings CROSS JOIN range(4) r(s))")
+def subify_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector cut into four parts."""
+    parts = _read(spark, sf_dir).select("vec_id", F.posexplode(subify("embedding", 4)).alias("part", "v"))
+    return parts.select("vec_id", "part", F.posexplode("v").alias("pos", "x"))
+
+
 @query(f"SELECT a.vec_id, 1 - {_ip(f'list_transform(a.embedding, lambda x: x::DOUBLE / sqrt({_n2('a.embedding')}))', f'list_transform(b.embedding, lambda x: x::DOUBLE / sqrt({_n2('b.embedding')}))')} AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_of_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir).select("vec_id", normalize("embedding").alias("v"))
