@@ -129,7 +129,7 @@ def score(texts: pa.Array, weights: np.ndarray, prior: int = PRIOR) -> np.ndarra
             good = ~_spaced(b, n)
             acc = np.concatenate([[0], np.cumsum(good)])
             count = count + (acc[end] - acc[o[:-1]])
-            grams.append((_ngram_buckets(b, n), good, end))
+            grams.append((_ngram_buckets(b, n)[good], acc[o[:-1]], acc[end]))
         words, pairs = _word_buckets(h), _word_buckets(tv.mix(h[:-1] ^ h[1:]))
         last = np.maximum(first[1:] - 1, first[:-1])  # a row's pairs begin at its words but the last
         z = np.zeros((j - i, len(weights)))
@@ -141,9 +141,9 @@ def score(texts: pa.Array, weights: np.ndarray, prior: int = PRIOR) -> np.ndarra
             acc = np.concatenate([[0], np.cumsum(w[pairs], dtype=np.float64)])
             at = np.minimum(first[:-1], len(pairs))
             z[:, k] += acc[np.minimum(last, len(pairs))] - acc[at]
-            for g, good, end in grams:
-                acc = np.concatenate([[0], np.cumsum(np.where(good, w[g], 0), dtype=np.float64)])
-                z[:, k] += acc[end] - acc[o[:-1]]
+            for g, start, end in grams:
+                acc = np.concatenate([[0], np.cumsum(w[g], dtype=np.float64)])
+                z[:, k] += acc[end] - acc[start]
         z /= (count + prior)[:, None]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
