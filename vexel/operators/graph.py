@@ -125,7 +125,8 @@ def random_graph(df: DataFrame, degree: int, seed: int = 0) -> DataFrame:
 def nn_descent(df: DataFrame, k: int, rounds: int | None = None, delta: float = 0.01, seed: int = 0, pool: int | None = None) -> DataFrame:
     """(src, dst, score): an approximate kNN graph; neighbours of neighbours are tried until at most delta * pool * n edges change in a round, or for `rounds` rounds.
 
-    `pool` neighbours (3 * k by default) are kept on the way and the k nearest of them given back. Each round is written to the shared folder.
+    `pool` neighbours (3 * k by default) are kept on the way and the k nearest of them given back. Of the vectors that have one among their neighbours the 2 * pool nearest
+    are gone on from, so a vector that is near to very many makes no more pairs than another. Each round is written to the shared folder.
     """
     pool = max(k, pool or 3 * k)
     v = df.select("external_id", "vector")
@@ -142,7 +143,8 @@ def nn_descent(df: DataFrame, k: int, rounds: int | None = None, delta: float =
     g = cut(best(scored(random_graph(v, pool, seed))))
     n = v.count()
     for _ in count() if rounds is None else range(rounds):
-        both = g.select("src", "dst").unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        back = best(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"), 2 * pool)
+        both = cut(g.select("src", "dst").unionByName(back.select("src", "dst")).distinct())
         hop = both.select(F.col("src").alias("mid"), F.col("dst").alias("src")).join(both.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
         new = scored(hop.join(g.select("src", "dst"), ["src", "dst"], "left_anti"))
         nxt = cut(best(g.unionByName(new)))

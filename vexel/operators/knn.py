@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as kn
 from ..functions.distance import distance
 from ..functions.metrics import Metric, as_metric
+from .cut import cut
 from .topk import top_k
 
 #: Bytes of query vectors (as doubles) up to which they are sent to every task.
@@ -104,7 +105,8 @@ def pack(df: DataFrame, id_col: str, block: int = BLOCK) -> DataFrame:
 
 def _knn_blocks(base: DataFrame, queries: DataFrame, k: int, m: Metric) -> DataFrame:
     names = ["ids", "dims", "data"]
-    b, q = pack(base, "external_id"), pack(queries, "query_id").toDF(*[f"q_{c}" for c in names])
+    # Both sides are read once for each partition of the other: packed once, then read from tables.
+    b, q = cut(pack(base, "external_id")), cut(pack(queries, "query_id")).toDF(*[f"q_{c}" for c in names])
 
     def run(batches):
         for batch in batches:
