@@ -41,6 +41,14 @@ def test_bfs_reaches_all_that_can_be_reached(spark, distances):
     assert got == want and max(got.values()) > 6
 
 
+@pytest.mark.parametrize("name", ["ivf_query_nprobe12", "ivf_query_join", "ivf_pq_rerank", "pq_adc_topk", "pq_symmetric_topk"])
+def test_searches_with_fixed_centroids(spark, distances, name):
+    got = [(r.query_id, r.external_id) for r in QUERIES[name](spark, SF).collect()]
+    found = recall(got, distances)
+    print(name, found)
+    assert len(got) == K * len(distances) and found >= 0.9
+
+
 @pytest.mark.parametrize("name,least", [("ivf_trained", 0.9), ("ivf_pq_trained", 0.9), ("vamana_query_L100", 0.95)])
 def test_trained_searches(spark, distances, name, least):
     got = [(r.query_id, r.external_id) for r in QUERIES[name](spark, SF).collect()]

@@ -20,8 +20,10 @@ from .sources.vectors import read_ids, read_vectors, write_vectors
 
 K = 10
 PARTS = 16
-SUBSPACES = 8
-WIDTH = 8
+NPROBE = 12
+CODES = 256
+SUBSPACES = 32
+WIDTH = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,15 +219,15 @@ def active_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.active_partitions(ivf.probe(_queries(spark, sf_dir), _centroids(spark, sf_dir), 4))
 
 
-@query(_ivf_sql(4))
-def ivf_query_nprobe4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.ivf_query(_assigned(spark, sf_dir), _centroids(spark, sf_dir), _queries(spark, sf_dir), K, 4)
+@query(_ivf_sql(NPROBE))
+def ivf_query_nprobe12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.ivf_query(_assigned(spark, sf_dir), _centroids(spark, sf_dir), _queries(spark, sf_dir), K, NPROBE)
 
 
-@query(_ivf_sql(4))
+@query(_ivf_sql(NPROBE))
 def ivf_query_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ivf_query_nprobe4 by the equi-join on part_id, as for many queries."""
-    return ivf.ivf_query(_assigned(spark, sf_dir), _centroids(spark, sf_dir), _queries(spark, sf_dir), K, 4, broadcast_bytes=0)
+    """ivf_query_nprobe12 by the equi-join on part_id, as for many queries."""
+    return ivf.ivf_query(_assigned(spark, sf_dir), _centroids(spark, sf_dir), _queries(spark, sf_dir), K, NPROBE, broadcast_bytes=0)
 
 
 @query(_top(_all()))
@@ -259,9 +261,9 @@ def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.medoid(_base(spark, sf_dir)).select("external_id", F.round("distance", 9).alias("distance"))
 
 
-# Product quantisation; codebook: the sub-vectors of the first PARTS vectors
+# Product quantisation; codebook: the sub-vectors of the first CODES vectors
 
-_BOOK = f"SELECT CAST(s AS INT) AS subspace, CAST(vec_id AS INT) AS code, embedding[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}] AS centroid FROM embeddings CROSS JOIN range({SUBSPACES}) r(s) WHERE vec_id < {PARTS}"
+_BOOK = f"SELECT CAST(s AS INT) AS subspace, CAST(vec_id AS INT) AS code, embedding[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}] AS centroid FROM embeddings CROSS JOIN range({SUBSPACES}) r(s) WHERE vec_id < {CODES}"
 _SUBS = f"SELECT vec_id, CAST(s AS INT) AS subspace, embedding[s * {WIDTH} + 1 : s * {WIDTH} + {WIDTH}] AS sub FROM embeddings CROSS JOIN range({SUBSPACES}) r(s)"
 _CODES = f"SELECT vec_id, subspace, code FROM (SELECT v.vec_id, v.subspace, b.code, row_number() OVER (PARTITION BY v.vec_id, v.subspace ORDER BY {_ssq('v.sub', 'b.centroid')}, b.code) AS r FROM ({_SUBS}) v JOIN ({_BOOK}) b ON b.subspace = v.subspace) WHERE r = 1"
 _TABLES = f"SELECT v.vec_id AS query_id, v.subspace, b.code, {_ssq('v.sub', 'b.centroid')} AS d FROM ({_SUBS}) v JOIN ({_BOOK}) b ON b.subspace = v.subspace"
@@ -271,7 +273,7 @@ _SYM = f"SELECT q.vec_id AS query_id, c.vec_id AS external_id, list_sum(list(p.d
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir).where(f"vec_id < {PARTS}")
+    e = _read(spark, sf_dir).where(f"vec_id < {CODES}")
     parts = F.transform(F.sequence(F.lit(0), F.lit(SUBSPACES - 1)), lambda s: F.struct(s.alias("subspace"), F.slice("embedding", s * WIDTH + 1, WIDTH).alias("centroid")))
     return e.select(F.col("vec_id").cast("short").alias("code"), F.explode(parts).alias("p")).select("p.subspace", "code", "p.centroid")
 
@@ -292,24 +294,32 @@ def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("external_id").alias("vec_id"), F.posexplode("decoded").alias("pos", "x"))
 
 
-@query(_top(_ADC))
+def _rerank_sql(candidates: str, wide: int) -> str:
+    return _top(f"SELECT t.query_id, t.external_id, {_ssq('q.embedding', 'e.embedding')} AS distance FROM ({_top(candidates, wide)}) t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings e ON e.vec_id = t.external_id")
+
+
+@query(_rerank_sql(_ADC, 3 * K))
 def pq_adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pq.adc_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K)
+    """3 * k by the distances of the queries to the codes, ranked anew by exact distance."""
+    found = pq.adc_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), 3 * K)
+    return pq.rerank(found, _base(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
-@query(_top(_SYM))
+@query(_rerank_sql(_SYM, 3 * K))
 def pq_symmetric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pq.symmetric_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K)
+    """3 * k by the distances between codes, ranked anew by exact distance."""
+    found = pq.symmetric_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), 3 * K)
+    return pq.rerank(found, _base(spark, sf_dir), _queries(spark, sf_dir), K)
 
 
-_ADC_PROBED = f"SELECT x.query_id, x.external_id, x.distance FROM ({_ADC}) x JOIN ({_ASSIGN}) a ON a.external_id = x.external_id JOIN ({_probe_sql(4)}) p ON p.query_id = x.query_id AND p.part_id = a.part_id"
+_ADC_PROBED = f"SELECT x.query_id, x.external_id, x.distance FROM ({_ADC}) x JOIN ({_ASSIGN}) a ON a.external_id = x.external_id JOIN ({_probe_sql(NPROBE)}) p ON p.query_id = x.query_id AND p.part_id = a.part_id"
 
 
-@query(_top(f"SELECT t.query_id, t.external_id, {_ssq('q.embedding', 'e.embedding')} AS distance FROM ({_top(_ADC_PROBED, 3 * K)}) t JOIN embeddings q ON q.vec_id = t.query_id JOIN embeddings e ON e.vec_id = t.external_id"))
+@query(_rerank_sql(_ADC_PROBED, 3 * K))
 def ivf_pq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four probes, 3 * k by codes, ranked anew by exact distance."""
+    """NPROBE of the partitions, 3 * k by codes, ranked anew by exact distance."""
     a = pq.encode(_assigned(spark, sf_dir), _book(spark, sf_dir))
-    return pq.ivf_pq_query(a, _centroids(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K, 4, 3.0)
+    return pq.ivf_pq_query(a, _centroids(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K, NPROBE, 3.0)
 
 
 @query(f"SELECT round(avg(e), 9) AS mean_error, round(max(e), 9) AS max_error FROM (SELECT v.vec_id, sum({_ssq('v.sub', 'b.centroid')}) AS e FROM ({_SUBS}) v JOIN ({_CODES}) c ON c.vec_id = v.vec_id AND c.subspace = v.subspace JOIN ({_BOOK}) b ON b.subspace = c.subspace AND b.code = c.code GROUP BY v.vec_id)")
@@ -368,9 +378,9 @@ def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Results: recall, padding, merging
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS hits, count(*) / (SELECT count(*) * {K}.0 FROM embeddings) AS recall FROM (SELECT query_id, external_id FROM ({_ivf_sql(4)}) INTERSECT SELECT query_id, external_id FROM ({_top(_all())}))")
+@query(f"SELECT CAST(count(*) AS BIGINT) AS hits, count(*) / (SELECT count(*) * {K}.0 FROM embeddings) AS recall FROM (SELECT query_id, external_id FROM ({_ivf_sql(NPROBE)}) INTERSECT SELECT query_id, external_id FROM ({_top(_all())}))")
 def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.recall(ivf_query_nprobe4(spark, sf_dir), QUERIES["knn_ssq"](spark, sf_dir), K)
+    return topk.recall(ivf_query_nprobe12(spark, sf_dir), QUERIES["knn_ssq"](spark, sf_dir), K)
 
 
 _FEW = _top(_all(where="e.label = 3"), 100)
