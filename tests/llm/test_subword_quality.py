@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,36 @@ def test_held_out_accuracy_of_the_query(spark, tmp_path):
     kept = {(r.quality, r.toxic): r.kept for r in got.groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
     print(kept)
     assert kept[1, 0] > 0.99 and kept[0, 0] < 0.05 and kept[1, 1] < 0.1, kept
+
+
+def test_training_stays_off_the_driver(spark, monkeypatch):
+    """The model is fitted in a task, from the same texts in the same order as by hand; the driver never makes the features."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    own = [r for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id in text]
+    want = sq.fold(*sq.train(pa.array([text[r.doc_id] for r in own]), np.array([sq.TOXIC if r.toxic else sq.GOOD if r.quality else sq.POOR for r in own])))
+
+    def on_the_driver(texts):
+        raise AssertionError("features of the training texts on the driver")
+
+    monkeypatch.setattr(sq, "bags", on_the_driver)
+    got = sq.fit(docs, labels)
+    assert got.shape == want.shape and np.abs(got - want).max() < 1e-4
+
+
+def test_training_keeps_eight_bytes_a_feature(monkeypatch):
+    """A bucket and a share of each feature, and no second list of them; texts longer than a block are whole."""
+    monkeypatch.setattr(sq, "BLOCK", 100_000)
+    long = pa.array([" ".join(map(str, range(20_000))), "", "a short one", "two short ones"])
+    cut = sq.train(long, np.array([0, 1, 1, 0]), epochs=1)
+    monkeypatch.setattr(sq, "BLOCK", 10)
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(cut, sq.train(long, np.array([0, 1, 1, 0]), epochs=1)))
+    monkeypatch.setattr(sq, "BLOCK", 100_000)
+    rng = np.random.default_rng(0)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 10**6, 400))) for _ in range(600)])
+    features = sum(len(f) for f, _ in sq.bags(texts))
+    tracemalloc.start()
+    sq.train(texts, np.arange(len(texts)) % 2, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * features + 12e6, (peak, features)

@@ -4,13 +4,15 @@ A document is the average of the learned vectors of its hashed words, pairs of n
 white space inside; a softmax over it gives the class: poor, good or toxic. `prior` more occurrences of one feature that all
 texts have draw short texts towards what is usual. A pair's hash is that of the XOR of its words, so a word said twice is the same pair whatever the word. Vectors and output weights are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents (`train_rows`, the
-rows with the least hash of doc_id). Both layers are linear, so for scoring each bucket's
+rows with the least hash of doc_id), in one task: the driver gets the folded table only. Both layers are linear, so for scoring each bucket's
 vector is folded with the output weights into one number a class, and a document is scored by
 table look-ups and sums over its bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,8 @@ RATE = 0.6
 PRIOR = 6
 #: Labelled documents the model is fitted on, at most.
 TRAIN_ROWS = 6000
+#: Features of the training texts in one block. Its arrays exceed 32 MB, so malloc gives them back to the system at once: the worker that trains lives on.
+BLOCK = 1 << 23
 SEED = 7
 THRESHOLD = 0.6
 POOR, GOOD, TOXIC = range(3)
@@ -64,10 +68,9 @@ def _word_buckets(h: np.ndarray) -> np.ndarray:
     return (h >> tv.U64(64 - BUCKET_BITS)).astype(np.uint32)
 
 
-def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of each text's features, the prior aside."""
     buf, off = tv.column_bytes(texts)
-    out = []
     for r in range(len(off) - 1):
         b = buf[off[r] : off[r + 1]]
         h, _, _ = tv.words(b, np.array([0, len(b)]))
@@ -75,8 +78,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         for n in NGRAMS:
             m = max(0, len(b) - n + 1)
             parts.append(_ngram_buckets(b, n)[:m][~_spaced(b, n)[:m]])
-        out.append(np.unique(np.concatenate(parts), return_counts=True))
-    return out
+        yield np.unique(np.concatenate(parts), return_counts=True)
 
 
 def train(texts: pa.Array, labels: np.ndarray, classes: int = 3, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, prior: int = PRIOR, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +86,15 @@ def train(texts: pa.Array, labels: np.ndarray, classes: int = 3, dim: int = DIM,
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, ((1 << BUCKET_BITS) + 1, dim)).astype(np.float32)
     out = np.zeros((dim, classes), np.float32)
-    data = []
+    data, room, at = [], 0, 0
     for f, c in bags(texts):
-        s = (c / (c.sum() + prior)).astype(np.float32)
-        data.append((f, s, np.float32(1 - s.sum()), 1 / float(s @ s)) if len(f) else None)
+        if at + len(f) > room:
+            room, at = max(BLOCK, len(f)), 0
+            buckets, shares = np.empty(room, np.uint32), np.empty(room, np.float32)
+        f_, s = buckets[at : at + len(f)], shares[at : at + len(f)]
+        f_[:], s[:] = f, c / (c.sum() + prior)
+        at += len(f)
+        data.append((f_, s, np.float32(1 - s.sum()), 1 / float(s @ s)) if len(f) else None)
     epochs = max(epochs, -(-MIN_STEPS // max(1, len(data))))
     steps, total = 0, max(1, epochs * len(data))
     for _ in range(epochs):
@@ -162,9 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.
     own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.when(toxic, F.lit(TOXIC)).when(F.avg(F.col("quality").cast("double")) >= 0.5, F.lit(GOOD)).when(F.avg(F.col("quality").cast("double")).isNotNull(), F.lit(POOR)).alias("label"))
     own = own.where("label IS NOT NULL").withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(train_rows)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(own), F.col("doc_id") == F.col("id"))
-    got = rows.groupBy("place", "id", "label").agg(F.min("text").alias("text")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
-    y = got["label"].to_numpy()
-    return fold(*train(got["text"], y)) if len(set(y.tolist())) > 1 else None
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by([("place", "ascending"), ("id", "ascending")])
+        y = t["label"].to_numpy()
+        if len(set(y.tolist())) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(*train(t["text"], y)).tobytes()], pa.binary())], ["weights"])
+
+    got = rows.groupBy("place", "id", "label").agg(F.min("text").alias("text")).repartition(1).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(got[0].weights, np.float32).reshape(3, -1) if got else None
 
 
 def with_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
