@@ -235,3 +235,47 @@ def test_a_folder_for_tables_is_needed_on_a_cluster():
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf={}, sparkContext=context))
     assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/y/"}, sparkContext=context)) == "hdfs://x/y"
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_running_top_k_over_odd_vectors(metric):
+    rng = np.random.default_rng(0)
+    plain = rng.normal(size=(600, 16))
+    odd = plain.copy()
+    odd[3, 2], odd[7, 1] = np.nan, np.inf
+    for x in (plain, plain + 1000, np.repeat(plain[:20], 30, 0), plain * 1e25, plain * 1e-25, odd, plain[:5]):
+        q, ids = x[:40], rng.permutation(len(x))
+        near = kn.Nearest(metric, q, 7)
+        with np.errstate(all="ignore"):
+            for s in range(0, len(x), 100):
+                near.add(x[s : s + 100], ids[s : s + 100])
+            row, found, d = near.result()
+            want = np.concatenate([kn.exact(metric, np.repeat(v[None], len(x), 0), x) for v in q])
+        own, every = np.repeat(np.arange(len(q)), len(x)), np.tile(ids, len(q))
+        at = kn.best(metric, own, every, want, 7)
+        assert np.array_equal(own[at], row) and np.array_equal(every[at], found) and np.array_equal(want[at], d, equal_nan=True)
+
+
+def test_a_large_search_sends_k_rows_a_query_whatever_the_base(spark, blobs):
+    """Before, every pair of blocks sent k rows a query, and joins on part_id or of column expressions all pairs."""
+    x, q, _, queries = blobs
+    base = frame(spark, np.tile(x, (15, 1))).repartition(5)
+    assert knn.block_top_k(base, queries, 7, Metric.L2).count() == 25 * 7
+    c = kmeans.kmeans_fit(base, 6, max_iter=2)
+    a = kmeans.assign(base, c)
+    assert ivf.block_probe(a, kmeans.centroid_matrix(c), queries, 7, 4, Metric.L2).count() == 25 * 7
+    book = pq.train_pq(base, 4, clusters=16)
+    for f in (lambda b: knn.knn(base, queries, 7, broadcast_bytes=b), lambda b: ivf.ivf_query(a, c, queries, 7, 4, broadcast_bytes=b)):
+        assert as_dict(f(0)) == as_dict(f(knn.BROADCAST_BYTES))
+    plan = ivf.ivf_query(a, c, queries, 7, 4, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "part_id" in plan and "zip_with" not in plan
+    e = pq.encode(a, book)
+    assert as_dict(pq.ivf_pq_query(e, c, book, queries, 5, 4, k_factor=len(x) * 15 / 5)) == as_dict(ivf.ivf_query(a, c, queries, 5, 4))
+
+
+def test_ranked_anew_gives_the_rows_of_the_join(spark, blobs):
+    _, _, base, queries = blobs
+    book = pq.train_pq(base, 4, clusters=16)
+    e = pq.encode(base, book)
+    for f in (pq.adc_query, pq.symmetric_query):
+        assert as_dict(f(e, book, queries, 5, wide=20)) == as_dict(pq.rerank(f(e, book, queries, 20), base, queries, 5))

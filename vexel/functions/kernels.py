@@ -39,14 +39,18 @@ def rough(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return nq[:, None] + nx - 2 * ip
 
 
-def exact(metric: Metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of row i of a to row i of b, summed from the first element on."""
+def exact(metric: Metric, a: np.ndarray, b: np.ndarray, width: int = 0) -> np.ndarray:
+    """Distances of row i of a to row i of b, summed from the first element on; with a width, sums of squares are taken for each so many elements and then added up."""
     n, d = a.shape
     s = np.zeros(n)
     if metric in (Metric.SUM_OF_SQUARES, Metric.L2):
-        for j in range(d):
-            t = a[:, j] - b[:, j]
-            s += t * t
+        step = width or d or 1
+        for j in range(0, d, step):
+            part = np.zeros(n)
+            for c in range(j, min(j + step, d)):
+                t = a[:, c] - b[:, c]
+                part += t * t
+            s += part
         return np.sqrt(s) if metric is Metric.L2 else s
     for j in range(d):
         s += a[:, j] * b[:, j]
@@ -60,6 +64,155 @@ def exact(metric: Metric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - s / np.where(m == 0, 1, m)
 
 
+#: Pairs that are scored exactly at a time.
+PAIRS = 1 << 15
+#: Queries of one matrix product: its result stays in the processor's cache.
+TILE = 256
+
+
+class Scan:
+    """A fixed set of queries against block after block of vectors: one matrix product a block, in single precision where its rounding leaves few pairs in doubt."""
+
+    def __init__(self, metric: Metric, q: np.ndarray):
+        self.metric, self.q = metric, q
+        self.norm = np.einsum("ij,ij->i", q, q)
+        self.square = metric in (Metric.SUM_OF_SQUARES, Metric.L2)
+        side = _unit(q, self.norm) if metric is Metric.COSINE else q
+        self.side = np.concatenate([side, np.ones((len(q), 1))], 1) if self.square else side
+        self.clean = bool(np.isfinite(self.norm).all())
+        self.single = self.side.astype(np.float32) if metric is Metric.COSINE or _in_range(self.norm) else None
+
+    def keys_of(self, distance: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distances as keys of the matrix product: the smaller the nearer."""
+        if self.square:
+            return (distance * distance if self.metric is Metric.L2 else distance) - self.norm[rows]
+        return -distance if self.metric is Metric.INNER_PRODUCT else distance - 1
+
+    def pairs(self, x: np.ndarray, bound: np.ndarray, rows: np.ndarray | None = None, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, x row) of all pairs whose key may be at most the query's bound, but for rounding. With k, an open bound (infinite) is first set from the k nearest of x. rows: the queries to look at."""
+        norm = np.einsum("ij,ij->i", x, x)
+        side = -_unit(x, norm) if self.metric is Metric.COSINE else np.concatenate([-2 * x, norm[:, None]], 1) if self.square else -x
+        finite = norm[np.isfinite(norm)]
+        size = 3.0 if self.metric is Metric.COSINE else (self.norm if rows is None else self.norm[rows]) + 2 * (finite.max() if len(finite) else 0.0)
+        fits = self.single is not None and (self.metric is Metric.COSINE or _in_range(norm))
+        own = bound if rows is None else bound[rows]
+        slack0, clean = (x.shape[1] + 8) * size, len(finite) == len(norm)
+        for kind in (np.float32, np.float64) if fits else (np.float64,):
+            left = self.single if kind is np.float32 else self.side
+            right = np.ascontiguousarray(side.T, kind)
+            slack = np.broadcast_to(slack0 * np.finfo(kind).eps + np.finfo(kind).tiny, own.shape)
+            limit, at, doubt = own + slack, [], 0
+            for s in range(0, len(own), TILE):
+                e = min(s + TILE, len(own))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    keys = (left[s:e] if rows is None else left[rows[s:e]]) @ right
+                    new = np.flatnonzero(np.isinf(own[s:e])) if k and len(x) > k else ()
+                    if len(new):
+                        limit[s + new] = np.partition(keys[new], k - 1, axis=1)[:, k - 1].astype(np.float64) + 2 * slack[s + new]
+                    most = limit[s:e, None] if kind is np.float64 else np.nextafter(limit[s:e].astype(kind), np.float32(np.inf))[:, None]
+                    at.append(np.flatnonzero(keys <= most if clean and self.clean else ~(keys > most)) + s * len(x))
+                doubt += len(at[-1])
+                if kind is np.float32 and doubt > max(4 * k * e, len(own) * len(x) // 16):
+                    break  # many in doubt: again in doubles
+            else:
+                break
+        if k and len(x) > k:
+            own = np.where(np.isinf(own), limit - slack, own)
+            bound[slice(None) if rows is None else rows] = own
+        i, j = np.divmod(np.concatenate(at) if at else np.zeros(0, np.int64), len(x))
+        return (i if rows is None else rows[i]), j
+
+    def distances(self, i: np.ndarray, j: np.ndarray, x: np.ndarray, width: int = 0) -> np.ndarray:
+        """Exact distances of the pairs."""
+        return exact_pairs(self.metric, self.q, x, i, j, width)
+
+
+def exact_pairs(metric: Metric, q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, width: int = 0) -> np.ndarray:
+    """exact() of rows i of q to rows j of x, PAIRS at a time; columns are gathered one by one, so that no wide copy is made."""
+    if metric not in (Metric.SUM_OF_SQUARES, Metric.L2) or len(i) < 64:
+        got = [exact(metric, q[i[s : s + PAIRS]], x[j[s : s + PAIRS]], width) for s in range(0, len(i), PAIRS)]
+        return np.concatenate(got) if got else np.zeros(0)
+    out, d = np.zeros(len(i)), q.shape[1]
+    qt, xt, step = np.ascontiguousarray(q.T), np.ascontiguousarray(x.T), width or d or 1
+    for s in range(0, len(i), PAIRS):
+        a, b = i[s : s + PAIRS], j[s : s + PAIRS]
+        for w in range(0, d, step):
+            part = np.zeros(len(a))
+            for c in range(w, min(w + step, d)):
+                t = qt[c].take(a)
+                t -= xt[c].take(b)
+                t *= t
+                part += t
+            out[s : s + PAIRS] += part
+    return np.sqrt(out) if metric is Metric.L2 else out
+
+
+def _unit(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    n = np.sqrt(norm)
+    return x / np.where(n == 0, 1, n)[:, None]
+
+
+def _in_range(norm: np.ndarray) -> bool:
+    """Whether squares of these lengths can be taken in single precision."""
+    return bool(np.isfinite(norm).all()) and (not len(norm) or 1e-20 < norm.max() < 1e30)
+
+
+class Nearest(Scan):
+    """A running top-k: the k nearest of each row of q among all blocks that were added, ties to the lesser id."""
+
+    def __init__(self, metric: Metric, q: np.ndarray, k: int):
+        super().__init__(metric, q)
+        self.k, self.bound = k, np.full(len(q), np.inf)
+        self.held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        self.new: list[list[np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None, width: int = 0, more=None) -> None:
+        """x with its ids, for the queries of the given rows. more(i, j) gives an array that is kept with each pair, from its query and x rows."""
+        if not len(x) or not len(self.q) or (rows is not None and not len(rows)):
+            return
+        i, j = self.pairs(x, self.bound, rows, self.k)
+        d = self.distances(i, j, x, width)
+        with np.errstate(invalid="ignore"):
+            ok = np.flatnonzero(~(self.keys_of(d, i) > self.bound[i] + 1e-12 * (self.norm[i] + np.abs(d) + 1))) if len(d) else slice(0)
+        i, j, d = i[ok], j[ok], d[ok]
+        self.new.append([i, ids[j], d, *([more(i, j)] if more else [])])
+        self.waiting += len(i)
+        if self.waiting > max(1 << 16, len(self.held[0]) // 2):
+            self._merge()
+
+    def _merge(self) -> None:
+        parts = [p for p in ([self.held] if len(self.held[0]) else []) + self.new if len(p[0])]
+        self.new, self.waiting = [], 0
+        if not parts:
+            return
+        both = [np.concatenate(c) for c in zip(*parts)]
+        at = self._order(*both[:3])
+        self.held = [c[at] for c in both]
+        row = self.held[0]
+        n = np.bincount(row, minlength=len(self.q))
+        full = np.flatnonzero(n == self.k)
+        last = np.cumsum(n)[full] - 1
+        key = self.keys_of(self.held[2][last], full)
+        self.bound[full] = np.where(np.isnan(key), np.inf, key)
+
+    def _order(self, row: np.ndarray, ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """best() by two fast sorts; where distances are equal or no numbers, by best() itself."""
+        if len(self.q) <= 1 << 16 and not np.isnan(d).any():
+            order = np.argsort(-d if self.metric.descending else d)
+            order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+            r, v, e = row[order], d[order], ids[order]
+            if not ((r[1:] == r[:-1]) & (v[1:] == v[:-1]) & (e[1:] < e[:-1])).any():
+                n = np.bincount(r, minlength=len(self.q))
+                return order[np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < self.k]
+        return best(self.metric, row, ids, d, self.k)
+
+    def result(self) -> list[np.ndarray]:
+        """[query row, id, distance, and what more() gave]."""
+        self._merge()
+        return self.held
+
+
 def near(metric: Metric, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, x row, distance) of all pairs that can be among the k nearest of the query: k and what is as near but for rounding."""
     if not len(q) or not len(x):

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
 from ..functions.distance import distance
 from ..functions.metrics import Metric, as_metric
-from .ivf import probe
+from .ivf import ivf_query, probe, probed_by, probing, with_probes
 from .kmeans import centroid_matrix, sample
-from .knn import _SCORED, BROADCAST_BYTES, collect_queries, is_small, running_top_k
+from .knn import _SCORED, BLOCK, BROADCAST_BYTES, _batches, collect_queries, is_small, meet, running_top_k
 from .topk import top_k
 
 CODEBOOK = "subspace int, code short, centroid array<float>"
@@ -81,72 +79,91 @@ def decode(encoded: DataFrame, book: DataFrame) -> DataFrame:
     return encoded.crossJoin(F.broadcast(cb)).withColumn("decoded", F.flatten(F.transform("codes", lambda c, s: F.get(F.get(F.col("_cb"), s), c.cast("int"))))).drop("_cb")
 
 
-def _table_sum(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """queries x vectors: sums over subspaces, from the first on."""
-    d = np.zeros((len(tables), len(codes)))
-    for s in range(codes.shape[1]):
-        d += tables[:, s][:, codes[:, s]]
-    return d
+def _decoded(codes: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """What rows of codes stand for."""
+    return np.concatenate([cb[s][codes[:, s]] for s in range(cb.shape[0])], 1) if len(codes) else np.zeros((0, cb.shape[0] * cb.shape[2]))
+
+
+def _coded(q: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """What the queries' own codes stand for."""
+    m, _, w = cb.shape
+    return _decoded(np.stack([kn.nearest_row(q[:, s * w : (s + 1) * w], cb[s])[0] for s in range(m)], 1), cb) if len(q) else q
+
+
+_RANKED = f"{_SCORED}, exact double"
+
+
+def _code_top_k(encoded: DataFrame, cb: np.ndarray, queries: DataFrame, k: int, metric: Metric, broadcast_bytes: int, c: np.ndarray | None = None, nprobe: int = 0, symmetric: bool = False, ranked: bool = False) -> DataFrame:
+    """(query_id, external_id, distance) with the k nearest by codes to each query among them; ranked: and `exact`, the distance of their vectors, taken as they come in.
+
+    Distances by codes are those to the decoded vectors, summed by subspace: pairs that can be among the nearest are found by a matrix product. c, nprobe: only the partitions
+    of the nprobe nearest centroids. Queries beyond broadcast_bytes are taken in blocks that meet blocks of codes.
+    """
+    width, spark = cb.shape[2], encoded.sparkSession
+    shared = spark.sparkContext.broadcast(cb)
+    if ranked or not is_small(queries, broadcast_bytes, k):
+        queries = queries.select("query_id", "vector")
 
+        def start(r):
+            return kn.Nearest(metric, _coded(r["q_vector"], shared.value) if symmetric else r["q_vector"], k)
 
-def _chunks(queries: DataFrame, limit: int) -> list[DataFrame]:
-    """queries in parts of about `limit` bytes of vectors each, by hash of their ids; as they are if they are small."""
-    if is_small(queries, limit):
-        return [queries]
-    n, d = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    parts = -(-n * (d or 1) * 8 // max(1, limit))
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+        def add(near, r):
+            more = (lambda i, j: kn.exact_pairs(metric, r["q_vector"], r["vector"], i, j)) if ranked else None
+            near.add(_decoded(r["codes"], shared.value), r["ids"], None if c is None else np.flatnonzero((r["q_probes"] == r["part_id"]).any(1)), width, more)
 
+        def finish(near, r):
+            i, ids, d, *x = near.result()
+            yield from _batches(r["q_ids"][i], ids, d, *([x[0] if x else d] if ranked else []), names=["query_id", "external_id", "distance", *(["exact"] if ranked else [])])
 
-def _code_top_k(encoded: DataFrame, qid: np.ndarray, q: np.ndarray, cb: np.ndarray, k: int, metric: Metric, by: dict[int, np.ndarray] | None) -> DataFrame:
-    """Per task the k nearest by codes to each query. The queries and the codebook go to the tasks; distance tables are made there, for 256 queries at a time."""
-    shared = encoded.sparkSession.sparkContext.broadcast((qid, q, cb, by))
+        part = {} if c is None else {"part": "part_id", "probes": "probes"}
+        columns = ("vector", "codes") if ranked else ("codes",)
+        return meet(encoded.select("external_id", *columns, *([] if c is None else ["part_id"])), queries if c is None else with_probes(queries, c, nprobe), start, add, finish, _RANKED if ranked else _SCORED, k, columns, **part)
+    qid, q = collect_queries(queries)
+    by = None if c is None else probed_by(q, c, nprobe)
+    sent = spark.sparkContext.broadcast((qid, _coded(q, cb) if symmetric else q, by))
 
     def run(batches):
-        qid, q, cb, by = shared.value
-
-        def score(b):
-            codes = kn.matrix(b.column(1)).astype(np.int64)
-            ids = b.column(0).to_numpy()
-            groups = [(np.arange(len(qid)), np.arange(len(ids)))]
-            if by is not None:
-                part = b.column(2).to_numpy()
-                groups = [(by[p], np.flatnonzero(part == p)) for p in np.unique(part) if p in by]
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            for qs, rows in groups:
-                for s in range(0, len(qs), 256):
-                    d = _table_sum(kn.adc_tables(q[qs[s : s + 256]], cb), codes[rows])
-                    d = np.sqrt(d) if metric is Metric.L2 else d
-                    if len(rows) > k:
-                        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
-                    else:
-                        i, j = np.nonzero(np.ones_like(d))
-                    out.append((qid[qs[s + i]], ids[rows[j]], d[i, j]))
-            return tuple(np.concatenate(x) for x in zip(*out))
-
-        return running_top_k(batches, metric, k, score)
-
-    cols = ["external_id", "codes", *(["part_id"] if by is not None else [])]
-    return encoded.select(*cols).mapInArrow(run, _SCORED)
-
-
-def adc_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The k nearest by distance of the raw query to the decoded vectors, from one table of sub-distances per query. Queries beyond broadcast_bytes are taken in parts, each a scan of the codes."""
+        qid, q, by = sent.value
+
+        def score(b, held):
+            x, ids = _decoded(kn.matrix(b.column(1)).astype(np.int64), shared.value), b.column(0).to_numpy()
+            if by is None:
+                for s in range(0, len(ids), BLOCK):
+                    for near, _, _ in held:
+                        near.add(x[s : s + BLOCK], ids[s : s + BLOCK], None, width)
+            else:
+                for _, at, near, rows in probing(b.column(2).to_numpy(), by, held):
+                    near.add(x[at], ids[at], rows, width)
+
+        return running_top_k(batches, metric, k, qid, q, score)
+
+    if by is not None and len(by) < len(c):
+        encoded = encoded.where(F.col("part_id").isin(sorted(by)))
+    return encoded.select("external_id", "codes", *([] if by is None else ["part_id"])).mapInArrow(run, _SCORED)
+
+
+def _ranked_anew(found: DataFrame, wide: int, k: int, m: Metric) -> DataFrame:
+    """The k nearest by `exact` of the `wide` nearest by codes."""
+    d = F.col("distance").desc() if m.descending else F.col("distance").asc()
+    w = Window.partitionBy("query_id").orderBy(d, F.col("external_id").asc())
+    first = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= wide)
+    return top_k(first.select("query_id", "external_id", F.col("exact").alias("distance")), k, m)
+
+
+def adc_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES, wide: int | None = None) -> DataFrame:
+    """The k nearest by distance of the raw query to the decoded vectors. wide: so many by codes, of which the k nearest by exact distance are given back (encoded has their vectors)."""
     cb, m = codebook_array(book), as_metric(metric)
-    parts = [_code_top_k(encoded, *collect_queries(p), cb, k, m, None) for p in _chunks(queries, broadcast_bytes)]
-    return top_k(reduce(DataFrame.unionByName, parts), k, m)
+    if wide:
+        return _ranked_anew(_code_top_k(encoded, cb, queries, wide, m, broadcast_bytes, ranked=True), wide, k, m)
+    return top_k(_code_top_k(encoded, cb, queries, k, m, broadcast_bytes), k, m)
 
 
-def symmetric_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def symmetric_query(encoded: DataFrame, book: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES, wide: int | None = None) -> DataFrame:
     """adc_query() with the queries encoded too: distances between decoded vectors."""
-    cb, metric_ = codebook_array(book), as_metric(metric)
-    m, _, w = cb.shape
-    parts = []
-    for p in _chunks(queries, broadcast_bytes):
-        qid, q = collect_queries(p)
-        codes = np.stack([kn.nearest_row(q[:, s * w : (s + 1) * w], cb[s])[0] for s in range(m)], 1) if len(q) else np.zeros((0, m), int)
-        parts.append(_code_top_k(encoded, qid, np.concatenate([cb[s][codes[:, s]] for s in range(m)], 1), cb, k, metric_, None))
-    return top_k(reduce(DataFrame.unionByName, parts), k, metric_)
+    cb, m = codebook_array(book), as_metric(metric)
+    if wide:
+        return _ranked_anew(_code_top_k(encoded, cb, queries, wide, m, broadcast_bytes, symmetric=True, ranked=True), wide, k, m)
+    return top_k(_code_top_k(encoded, cb, queries, k, m, broadcast_bytes, symmetric=True), k, m)
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: Metric | int | str = Metric.SUM_OF_SQUARES, few: bool = False) -> DataFrame:
@@ -161,21 +178,17 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, m
 def ivf_pq_query(encoded: DataFrame, centroids: DataFrame, book: DataFrame, queries: DataFrame, k: int, nprobe: int = 100, k_factor: float = 1.0, metric: Metric | int | str = Metric.SUM_OF_SQUARES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Nearest by codes among the nprobe partitions; with k_factor > 1, floor(k * k_factor) of them are ranked anew by exact distance.
 
-    encoded: (external_id, vector, part_id, codes). Queries beyond broadcast_bytes are taken in parts.
+    encoded: (external_id, vector, part_id, codes). Queries beyond broadcast_bytes are taken in blocks. Where at least as many are ranked anew as there are vectors, codes leave
+    nothing out, and the search is ivf_query().
     """
     if k_factor < 1:
         raise ValueError("k_factor must be at least 1")
-    m, cb, c, wide = as_metric(metric), codebook_array(book), centroid_matrix(centroids), int(k * k_factor)
-    parts = []
-    for p in _chunks(queries, broadcast_bytes):
-        qid, q = collect_queries(p)
-        i, j, d = kn.near(Metric.SUM_OF_SQUARES, q, c, min(nprobe, len(c)))
-        at = kn.best(Metric.SUM_OF_SQUARES, i, j, d, nprobe)
-        by = {int(x): np.unique(i[at][j[at] == x]) for x in np.unique(j[at])}
-        near = encoded.where(F.col("part_id").isin(sorted(by))) if len(by) < len(c) else encoded
-        first = top_k(_code_top_k(near, qid, q, cb, wide, m, by), wide, m)
-        parts.append(first if wide == k else rerank(first, near, p, k, m, few=len(qid) * wide * 24 <= broadcast_bytes))
-    return reduce(DataFrame.unionByName, parts)
+    m, wide = as_metric(metric), int(k * k_factor)
+    if wide > max(k, BLOCK) and encoded.select("external_id").limit(wide + 1).count() <= wide:
+        return ivf_query(encoded, centroids, queries, k, nprobe, m, broadcast_bytes)
+    cb, c = codebook_array(book), centroid_matrix(centroids)
+    found = _code_top_k(encoded, cb, queries, wide, m, broadcast_bytes, c, nprobe, ranked=wide > k)
+    return top_k(found, k, m) if wide == k else _ranked_anew(found, wide, k, m)
 
 
 def pq_errors(encoded: DataFrame, book: DataFrame) -> DataFrame:

@@ -301,15 +301,13 @@ def _rerank_sql(candidates: str, wide: int) -> str:
 @query(_rerank_sql(_ADC, 3 * K))
 def pq_adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 * k by the distances of the queries to the codes, ranked anew by exact distance."""
-    found = pq.adc_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), 3 * K)
-    return pq.rerank(found, _base(spark, sf_dir), _queries(spark, sf_dir), K)
+    return pq.adc_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K, wide=3 * K)
 
 
 @query(_rerank_sql(_SYM, 3 * K))
 def pq_symmetric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 * k by the distances between codes, ranked anew by exact distance."""
-    found = pq.symmetric_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), 3 * K)
-    return pq.rerank(found, _base(spark, sf_dir), _queries(spark, sf_dir), K)
+    return pq.symmetric_query(_encoded(spark, sf_dir), _book(spark, sf_dir), _queries(spark, sf_dir), K, wide=3 * K)
 
 
 _ADC_PROBED = f"SELECT x.query_id, x.external_id, x.distance FROM ({_ADC}) x JOIN ({_ASSIGN}) a ON a.external_id = x.external_id JOIN ({_probe_sql(NPROBE)}) p ON p.query_id = x.query_id AND p.part_id = a.part_id"
