@@ -279,3 +279,27 @@ def test_ranked_anew_gives_the_rows_of_the_join(spark, blobs):
     e = pq.encode(base, book)
     for f in (pq.adc_query, pq.symmetric_query):
         assert as_dict(f(e, book, queries, 5, wide=20)) == as_dict(pq.rerank(f(e, book, queries, 20), base, queries, 5))
+
+
+def test_walks_side_by_side(spark, blobs):
+    """Before, one task walked for one query after another, and a walk as wide as the table went on from every vector."""
+    from time import perf_counter
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 32))
+    nbrs, medoid = kn.vamana(x, 24, 60, 1.2, Metric.SUM_OF_SQUARES)
+    assert max(map(len, nbrs)) <= 30 and all(len(set(v.tolist())) == len(v) and i not in v for i, v in enumerate(nbrs))
+    g = kn.Graph.of(Metric.SUM_OF_SQUARES, x, np.repeat(np.arange(len(x)), [len(v) for v in nbrs]), np.concatenate(nbrs))
+    q = rng.normal(size=(64, 32))
+    together = g.walk(g.place(q), np.array([medoid]), 60)[0]
+    for i in range(0, 64, 9):
+        assert set(g.walk(g.place(q[i : i + 1]), np.array([medoid]), 60)[0][0]) == set(together[i])
+    want = [v for v in truth(x, q, 10, Metric.SUM_OF_SQUARES).values()]
+    assert sum(len({j for j, _ in w} & set(f)) for w, f in zip(want, together)) >= 0.95 * 640
+    base, many = frame(spark, x), frame(spark, rng.normal(size=(2500, 32)), 0, "query_id")
+    built = graph.build_vamana(base, 20, 8, shards=2).cache()
+    assert built.count() == 1500
+    began = perf_counter()
+    got = graph.vamana_query(built, many, 5, l_search=1500)
+    assert got.count() == 5 * 2500 and perf_counter() - began < 30
+    assert as_dict(got) == as_dict(knn.knn(base, many, 5))
