@@ -303,3 +303,22 @@ def test_walks_side_by_side(spark, blobs):
     got = graph.vamana_query(built, many, 5, l_search=1500)
     assert got.count() == 5 * 2500 and perf_counter() - began < 30
     assert as_dict(got) == as_dict(knn.knn(base, many, 5))
+
+
+def test_nn_descent_in_passes(spark, blobs):
+    """Before, all pairs of a list's members went through a shuffle; now only what can enter another's list leaves a task, whatever the number of passes."""
+    x, _, base, _ = blobs
+    one, many = ({(r.src, r.dst, r.score) for r in graph.nn_descent(base, 5, rounds=2, seed=1, pass_bytes=b).collect()} for b in (1 << 30, 1 << 20))
+    assert one == many and len(one) == 5 * 600
+    import pyarrow as pa
+
+    ids = np.arange(60)
+    bound = np.full(60, 40.0)
+    t = pa.table({"mid": np.repeat([7, 9], 30), "member": ids, "vector": pa.array(list(x[:60]), pa.list_(pa.float32())), "bound": bound})
+    got = graph._within_lists(t, 4)
+    want = set()
+    for lo in (0, 30):
+        for a in range(lo, lo + 30):
+            d = sorted((float(((x[a].astype(float) - x[b]) ** 2).sum()), b) for b in range(lo, lo + 30) if a != b)[:4]
+            want |= {(a, b) for s, b in d if s <= 40.0}
+    assert set(zip(got["src"].to_pylist(), got["dst"].to_pylist())) == want and 0 < len(want) < 240
